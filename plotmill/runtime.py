@@ -5,8 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+import plotmill
+
+# functions travel to the executors by value, so these need no copy of the package on their path
+cloudpickle.register_pickle_by_value(plotmill)
+
 _FALLBACK: dict[str, str] = {}
 
 
