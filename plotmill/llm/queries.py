@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from plotmill.llm.addresses import buildings, same_building_pairs
+from plotmill.llm.leaks import leaked_items
 from plotmill.llm.token_index import ADVERT_PATTERNS, advert_tokens, known_rows
+from plotmill.llm.vantage import similar_records
 from plotmill.runtime import read_table
 
 
@@ -28,5 +31,24 @@ i AS (SELECT * FROM {_advert_sql("scan_inbox", "entry_id, batch_no,")} WHERE cod
 SELECT entry_id FROM (SELECT entry_id, row_number() OVER (PARTITION BY site, code ORDER BY batch_no, entry_id) AS k, h.code AS known FROM i LEFT JOIN h USING (site, code)) WHERE k > 1 OR known IS NOT NULL
 """
 
-QUERIES = {"p1_found": p1_found}
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of tracker rows at the same building."""
+    return same_building_pairs(read_table(spark, sf, "tracker_additions"), read_table(spark, sf, "gazetteer"))
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of tracker rows that record the same flat with small changes."""
+    additions = read_table(spark, sf, "tracker_additions")
+    placed = buildings(additions, read_table(spark, sf, "gazetteer")).withColumnRenamed("building", "grp")
+    flats = additions.select(additions.addition_id.alias("row_id"), "price", "m2", "rooms").join(placed, "row_id")
+    return similar_records(flats).toDF("addition_id_a", "addition_id_b")
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with the evaluation items they leak."""
+    return leaked_items(read_table(spark, sf, "documents"), read_table(spark, sf, "eval_items"))
+
+
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p7_found": p7_found}
 ORACLES = {"p1_found": P1_SQL}
