@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from plotmill.llm.addresses import buildings, same_building_pairs
 from plotmill.llm.leaks import leaked_items
+from plotmill.llm.mixing import mix
+from plotmill.llm.mojibake import garbled_documents, restored_documents
 from plotmill.llm.token_index import ADVERT_PATTERNS, advert_tokens, known_rows
 from plotmill.llm.vantage import similar_records
 from plotmill.runtime import read_table
@@ -50,5 +52,25 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return leaked_items(read_table(spark, sf, "documents"), read_table(spark, sf, "eval_items"))
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p7_found": p7_found}
+def p8_mix(spark: SparkSession, sf: str) -> DataFrame:
+    """The drawn documents with their repeats."""
+    return mix(read_table(spark, sf, "documents"), read_table(spark, sf, "mix_targets")).documents
+
+
+def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """Target and actual share of each source."""
+    return mix(read_table(spark, sf, "documents"), read_table(spark, sf, "mix_targets")).shares
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with text that was decoded wrongly."""
+    return garbled_documents(read_table(spark, sf, "documents"))
+
+
+def p9_restored(spark: SparkSession, sf: str) -> DataFrame:
+    """The garbled documents with their original text, as far as it can be restored."""
+    return restored_documents(read_table(spark, sf, "documents"))
+
+
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p7_found": p7_found, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_restored": p9_restored}
 ORACLES = {"p1_found": P1_SQL}
