@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from plotmill.plans import problems
+from plotmill.plans import problems, scalars
 
-_MODULES = (problems,)
+_MODULES = (problems, scalars)
 
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
