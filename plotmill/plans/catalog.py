@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from plotmill.plans import problems, scalars
+from plotmill.plans import linkage, problems, scalars, summaries
 
-_MODULES = (problems, scalars)
+_MODULES = (problems, scalars, linkage, summaries)
 
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
