@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from plotmill.plans import linkage, problems, scalars, summaries
+from plotmill.plans import captures, linkage, problems, relational, scalars, streams, summaries
 
-_MODULES = (problems, scalars, linkage, summaries)
+_MODULES = (problems, scalars, linkage, summaries, captures, streams, relational)
 
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
