@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -29,9 +31,26 @@ def shared_dir(spark: SparkSession) -> str:
     return _FALLBACK[app]
 
 
+_WRITTEN: list[str] = []
+
+
 def new_path(spark: SparkSession, what: str) -> str:
-    """A path below the shared folder that nothing has used."""
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    """A path below the shared folder that nothing has used; it goes when the driver's program ends."""
+    _WRITTEN.append(f"{shared_dir(spark)}/plotmill-{what}-{uuid.uuid4().hex}")
+    return _WRITTEN[-1]
+
+
+@atexit.register
+def _tidy() -> None:
+    """Remove what was written. Results are lazy and read these tables, so nothing can go before."""
+    spark = SparkSession.getActiveSession()
+    for path in _WRITTEN:
+        local = path.removeprefix("file://") if path.startswith(("file:///", "/")) else None
+        if local:
+            shutil.rmtree(local, ignore_errors=True)
+        elif spark is not None:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def materialize(df: DataFrame, what: str, partition_by: str | None = None) -> DataFrame:

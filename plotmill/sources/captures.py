@@ -36,7 +36,7 @@ def listings(pages: DataFrame, keep: list[str], body: str = "body") -> DataFrame
 
 def page_state(pages: DataFrame, keep: list[str], page_no: str, body: str = "body") -> DataFrame:
     """Cards found per page, and whether a page without cards is a true end (``empty``), a format drift or an error."""
-    p = pages.select(*keep, page_no, parse_page(F.col(body)).alias("page"))
+    p = pages.select(*keep, page_no, F.when(F.get_json_object(body, "$").isNotNull(), parse_page(F.col(body))).alias("page"))
     size = F.coalesce("page.c", "page.count", F.size(F.coalesce("page.L", F.array().cast("array<array<string>>"))) + F.coalesce(F.size("page.listings"), F.lit(0)))
     state = (
         F.when(F.col("page").isNull(), "unreadable").when(size > 0, "ok").when(F.coalesce("page.empty", F.lit(False)) | (F.col("page.total") == 0), "empty").when(F.col(page_no) == 1, "drift").otherwise("end")
