@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plotmill.runtime import new_path, read_table
-from plotmill.sources import captures, files, mail, markdown
+from plotmill.sources import captures, cards, files, mail, markdown
 
 
 def _pages(spark: SparkSession, sf: str, compact: bool) -> DataFrame:
@@ -105,5 +105,17 @@ def mail_attachments(spark: SparkSession, sf: str) -> DataFrame:
 
 MAIL_SQL = "SELECT addition_id, 'n.bin' AS name, coalesce(notes, '') AS notes FROM tracker_additions"
 
-QUERIES = {f.__name__: f for f in (json_compact, json_verbose, page_states, markdown_table, queue_lines, correspondence_blocks, history_files, archive_files, mail_attachments)}
-ORACLES = {"json_compact": CAPTURE_SQL, "json_verbose": CAPTURE_SQL, "page_states": STATES_SQL, "markdown_table": MARKDOWN_SQL, "queue_lines": QUEUE_SQL, "history_files": FILES_SQL, "archive_files": ARCHIVE_SQL, "mail_attachments": MAIL_SQL}
+def html_cards(spark: SparkSession, sf: str) -> DataFrame:
+    """Inbox rows through result pages in HTML, read by the general card rule."""
+    i = read_table(spark, sf, "scan_inbox").withColumn("page_no", F.pmod("entry_id", F.lit(40)) + 1)
+    fact = lambda c, kind, unit: F.when(F.col(c) > 0, F.concat(F.lit("<p>"), F.replace(F.col(c).cast(kind).cast("string"), F.lit("."), F.lit(",")), F.lit(f" {unit}</p>")))
+    card = F.concat_ws("", F.lit('<div class="listing-card"><a href="/x/'), "entry_id", F.lit('">w</a><h3>Nr. '), "entry_id", F.lit("</h3>"), fact("price", "decimal(12,2)", "€"), fact("m2", "decimal(12,2)", "m²"), fact("rooms", "int", "Zi"), F.lit("</div>"))
+    pages = i.groupBy("batch_no", "page_no").agg(F.array_join(F.collect_list(card), "\n").alias("html")).select((F.col("batch_no") * 100 + F.col("page_no")).cast("bigint").alias("page_id"), F.lit("other").alias("source"), F.lit("https://p.example/").alias("url"), "html")
+    return cards.card_listings(pages, "page_id", "source", "url", "html").drop("pos", "location", "source")
+
+
+HTML_SQL = """SELECT CAST(batch_no * 100 + entry_id % 40 + 1 AS bigint) AS page_id, 'https://p.example/x/' || entry_id AS url, 'Nr. ' || entry_id AS title, CASE WHEN price > 0 THEN CAST(CAST(price AS decimal(12,2)) AS double) END AS price, CASE WHEN m2 > 0 THEN CAST(CAST(m2 AS decimal(12,2)) AS double) END AS m2,
+CASE WHEN rooms > 0 THEN CAST(trunc(rooms) AS double) END AS rooms FROM scan_inbox WHERE price > 0 OR m2 > 0"""
+
+QUERIES = {f.__name__: f for f in (html_cards, json_compact, json_verbose, page_states, markdown_table, queue_lines, correspondence_blocks, history_files, archive_files, mail_attachments)}
+ORACLES = {"html_cards": HTML_SQL, "json_compact": CAPTURE_SQL, "json_verbose": CAPTURE_SQL, "page_states": STATES_SQL, "markdown_table": MARKDOWN_SQL, "queue_lines": QUEUE_SQL, "history_files": FILES_SQL, "archive_files": ARCHIVE_SQL, "mail_attachments": MAIL_SQL}
