@@ -85,6 +85,12 @@ judged AS (SELECT *, trim(cells[1], ' ') AS num, CASE WHEN NOT quoted_well THEN
   WHEN regexp_matches(coalesce(cells[12], ''), '[\\x00-\\x08\\x0A-\\x1F\\x7F\\x{{FFFD}}]') THEN 'notes' END AS reason FROM tok)
 """
 P5_SQL = _P5_CTE + "SELECT line_id, reason FROM judged WHERE reason IS NOT NULL"
+P5_ROWS_SQL = (
+    _P5_CTE
+    + f"""SELECT line_id, try_cast(num AS integer) AS num, try_cast(trim(cells[2], ' ') AS date) AS add_date, nullif(cells[3], '') AS portal, nullif(cells[4], '') AS offer_type, nullif(cells[5], '') AS location,
+{", ".join(f"CAST({_number_sql(f'cells[{k}]')} AS double) AS {c}" for k, c in ((6, "price"), (7, "m2"), (8, "rooms")))}, try_cast(replace(trim(cells[9], ' '), ',', '.') AS double) AS score, nullif(cells[10], '') AS status, nullif(cells[11], '') AS report, nullif(cells[12], '') AS notes
+FROM judged WHERE reason IS NULL"""
+)
 
 _P6_CTE = """
 WITH r1 AS (SELECT addition_id AS ref_id, nullif(regexp_extract(report, 'reports/.*?\\.md'), '') AS key, add_date AS ref_on FROM tracker_additions),
@@ -102,6 +108,7 @@ QUERIES = {"p2_found": p2_found, "p5_found": p5_found, "p5_errors": p5_errors, "
 ORACLES = {
     "p2_found": P2_SQL,
     "p5_found": P5_SQL,
+    "p5_rows": P5_ROWS_SQL,
     "p6_found": _P6_CTE + "SELECT ref_table, ref_id, reason, ref_month FROM found WHERE reason IS NOT NULL",
     "p6_report": _P6_CTE + "SELECT ref_table, ref_month, reason, count(*) AS n_refs FROM found WHERE reason IS NOT NULL GROUP BY ALL",
 }
