@@ -125,8 +125,7 @@ class Gazetteer:
         exact = self.plz.get(plz, set())
         if found:
             if len(found) > 1:
-                near = found & exact or found & self._near_plz(plz)
-                return near or found
+                return found & exact or found & self._near_plz(plz) or found & self._near_name(self._parts(locality)[0]) or found
             return found
         return exact or self._near_plz(plz)
 
@@ -135,22 +134,28 @@ class Gazetteer:
             return set()
         return set().union(*(t for p, t in self.plz.items() if osa(p, plz, 1) <= 1))
 
+    @staticmethod
+    def _parts(locality: str) -> tuple[list[str], list[str]]:
+        """The parts of a text, and the pieces of those with a hyphen or slash, as letters only."""
+        whole = [w for w in (letters(p) for p in re.split(r"[,|;()\n]| - ", locality)) if w]
+        return whole, [w for p in re.split(r"[,|;()\n]", locality) if "-" in p or "/" in p for w in map(letters, re.split(r"[-/]", p)) if w]
+
+    def _near_name(self, parts: list[str]) -> set[str]:
+        """Towns of the names nearest to the parts, within one edit, or two for long parts."""
+        towns: set[str] = set()
+        for w in parts:
+            if len(w) >= 4 and w not in self.names:
+                limit = 2 if len(w) >= 9 else 1
+                near = {n: d for n in self.names if (d := distance(w, n, limit)) <= limit}
+                towns |= set().union(*(self.names[n] for n, d in near.items() if d == min(near.values())))
+        return towns
+
     def _by_name(self, locality: str) -> set[str]:
         """Intersection of what the parts of the text mean; exact names before misspelt ones, longer before shorter."""
-        whole = [w for w in (letters(p) for p in re.split(r"[,|;()\n]| - ", locality)) if w]
-        parts = whole + [w for p in re.split(r"[,|;()\n]", locality) if "-" in p or "/" in p for w in map(letters, re.split(r"[-/]", p)) if w]
-        evidence = [self.names[w] for w in parts if w in self.names]
+        whole, halves = self._parts(locality)
+        evidence = [self.names[w] for w in whole + halves if w in self.names]
         if not evidence:
-            for w in parts:
-                if len(w) < 4:
-                    continue
-                limit = 2 if len(w) >= 9 else 1
-                best: dict[int, set[str]] = {}
-                for name, towns in self.names.items():
-                    if (d := distance(w, name, limit)) <= limit:
-                        best.setdefault(d, set()).update(towns)
-                if best:
-                    evidence.append(best[min(best)])
+            evidence = [t for w in whole + halves if (t := self._near_name([w]))]
         if not evidence:
             return set()
         common = set.intersection(*evidence)
