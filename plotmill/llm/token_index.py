@@ -65,24 +65,31 @@ class TokenIndex:
         sets = materialize(records.where(F.col("tokens").isNotNull()).groupBy("tokens").agg(F.min("since").alias("since")), "index-sets")
         counts = sets.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
         index = cls(spark, materialize(counts, "index-frequent"), threshold, buckets or max(shuffle_partitions(spark), 8))
-        index._write(index.prefixes(sets.withColumn("entry_id", F.lit(None).cast("bigint"))))
+        index._write(index._prefixes(sets.withColumns({"entry_id": F.lit(None).cast("bigint"), "batch_no": F.lit(None).cast("int")})))
         return index
 
-    def prefixes(self, sets: DataFrame) -> DataFrame:
-        """One row per set and token of its prefix; ``sets`` has distinct ``tokens``, ``since`` and ``entry_id``."""
+    def _prefixes(self, sets: DataFrame) -> DataFrame:
+        """One row per set and token of its prefix; ``sets`` has distinct ``batch_no, tokens``, ``since`` and ``entry_id``."""
         ranked = (
-            sets.select("tokens", "since", "entry_id", F.explode("tokens").alias("token"))
+            sets.select("batch_no", "tokens", "since", "entry_id", F.explode("tokens").alias("token"))
             .join(self.frequent, "token", "left")
-            .groupBy("tokens")
+            .groupBy("batch_no", "tokens")
             .agg(F.min("since").alias("since"), F.min("entry_id").alias("entry_id"), F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), F.xxhash64("token").alias("tok")))).alias("ranked"))
         )
         n = F.size("ranked")
         keep = (n - F.ceil(n * F.lit(self.threshold) - 1e-9) + 1).cast("int")
-        return ranked.select(F.explode(F.slice("ranked", F.lit(1), keep)).alias("r"), n.alias("n"), "tokens", "since", "entry_id").select("r.tok", "n", "tokens", "since", "entry_id")
+        return ranked.select("batch_no", F.explode(F.slice("ranked", F.lit(1), keep)).alias("r"), n.alias("n"), "tokens", "since", "entry_id").select("batch_no", "r.tok", "n", "tokens", "since", "entry_id")
+
+    def stage(self, rows: DataFrame) -> DataFrame:
+        """Prefixes of pending rows (``entry_id, batch_no, tokens, since``), in the shared folder by batch. The order of
+        tokens is frozen, so they don't depend on what is accepted meanwhile. Rows of equal sets are reduced to the first
+        one of their batch before the shuffle, so a hot set is one row."""
+        sets = rows.where(F.col("tokens").isNotNull()).groupBy("batch_no", "tokens").agg(F.min("entry_id").alias("entry_id"), F.min("since").alias("since"))
+        return materialize(self._prefixes(sets), "batch-prefixes", "batch_no")
 
     def _write(self, postings: DataFrame) -> None:
-        writer = postings.repartition(self.buckets, "tok").write.mode("append").format("parquet").bucketBy(self.buckets, "tok").option("path", self.path)
-        writer.saveAsTable(self.table)
+        columns = postings.select("tok", "n", "tokens", "since", "entry_id")
+        columns.repartition(self.buckets, "tok").write.mode("append").format("parquet").bucketBy(self.buckets, "tok").option("path", self.path).saveAsTable(self.table)
 
     def postings(self) -> DataFrame:
         self.spark.catalog.refreshTable(self.table)
@@ -94,24 +101,15 @@ class TokenIndex:
         overlap = F.size(F.array_intersect(f"{a}.tokens", f"{b}.tokens"))
         return lengths & (overlap * (1 + t) >= t * (F.col(f"{a}.n") + F.col(f"{b}.n")) - 1e-9)
 
-    def accept(self, batch: DataFrame) -> DataFrame:
-        """Rows of ``batch`` (``entry_id``, ``tokens``, ``since``) that bring something new, appended to the index.
-
-        New is a row whose set is similar to no set in the index and to no row of the batch with a smaller ``entry_id``.
-        Rows of equal sets are reduced to the first one before the shuffle, so a hot set is one row.
-        """
-        sets = materialize(batch.where(F.col("tokens").isNotNull()).groupBy("tokens").agg(F.min("entry_id").alias("entry_id"), F.min("since").alias("since")), "batch-sets")
-        probe = self.prefixes(sets)
-        if self.threshold < 1:
-            probe = materialize(probe, "batch-prefixes")
-        b, i = probe.hint("shuffle_hash").alias("b"), self.postings().alias("i")
+    def accept(self, prefixes: DataFrame) -> None:
+        """Append the sets of one staged batch that are new: similar to no set in the index, and to no set of the batch
+        with a smaller ``entry_id``. One job reads the batch, the postings and writes the new ones."""
+        b, i = prefixes.hint("shuffle_hash").alias("b"), self.postings().alias("i")
         known = i.join(b, F.col("i.tok") == F.col("b.tok")).where(self._similar("b", "i")).select("b.tokens")
         if self.threshold < 1:
-            e = probe.alias("e")
-            known = known.union(e.join(probe.alias("b"), (F.col("e.tok") == F.col("b.tok")) & (F.col("e.entry_id") < F.col("b.entry_id"))).where(self._similar("b", "e")).select("b.tokens"))
-        new = materialize(sets.join(known, "tokens", "left_anti"), "batch-new")
-        self._write(self.prefixes(new))
-        return new
+            e = prefixes.alias("e")
+            known = known.union(e.join(prefixes.alias("b"), (F.col("e.tok") == F.col("b.tok")) & (F.col("e.entry_id") < F.col("b.entry_id"))).where(self._similar("b", "e")).select("b.tokens"))
+        self._write(prefixes.join(known, "tokens", "left_anti"))
 
     def accepted(self) -> DataFrame:
         """``entry_id`` of all rows accepted since the index was built."""
@@ -125,8 +123,9 @@ def known_rows(history: DataFrame, inbox: DataFrame, threshold: float = 1.0) ->
     without tokens name no record and are never known. A null ``batch_no`` comes after all others. The number of batches
     is what the loop on the driver runs over; each round reads one batch and the index.
     """
-    staged = materialize(inbox.where(F.col("tokens").isNotNull() & F.col("entry_id").isNotNull()).select("entry_id", F.coalesce("batch_no", F.lit(2**31 - 1)).alias("batch_no"), "tokens", "since"), "inbox-tokens", "batch_no")
+    pending = materialize(inbox.where(F.col("tokens").isNotNull() & F.col("entry_id").isNotNull()).select("entry_id", F.coalesce("batch_no", F.lit(2**31 - 1)).alias("batch_no"), "tokens", "since"), "inbox-tokens")
     index = TokenIndex.build(history, threshold)
+    staged = index.stage(pending)
     for (batch,) in staged.select("batch_no").distinct().orderBy("batch_no").collect():
         index.accept(staged.where(F.col("batch_no") == batch))
-    return staged.select("entry_id").join(index.accepted(), "entry_id", "left_anti")
+    return pending.select("entry_id").join(index.accepted(), "entry_id", "left_anti")

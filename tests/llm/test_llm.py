@@ -72,7 +72,8 @@ def test_index_finds_similar_sets(spark):
     known = [set(t) for t in base]
     alike = lambda a, b: len(a & b) / len(a | b) >= 0.6 - 1e-12
     for at, batch in ((1000, batch1), (2000, batch2)):
-        got = {r.entry_id for r in index.accept(frame(batch, at)).collect()}
+        index.accept(index.stage(frame(batch, at).withColumn("batch_no", F.lit(at))))
+        got = {r.entry_id for r in index.accepted().collect() if r.entry_id >= at}
         first = {}
         for k, t in enumerate(batch):
             first.setdefault(tuple(t), at + k)
