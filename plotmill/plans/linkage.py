@@ -12,9 +12,15 @@ from plotmill.operators.bands import Band, band_join
 from plotmill.runtime import read_table
 
 
-def _towns(spark: SparkSession, sf: str) -> list[str]:
-    names = read_table(spark, sf, "gazetteer").select(F.lower(F.regexp_replace("town", " (an der|am) .*", ""))).distinct()
-    return sorted(r[0] for r in names.limit(100_000).collect())
+#: Town names go into expressions; a longer list is refused.
+MAX_TOWNS = 100_000
+
+
+def town_names(spark: SparkSession, sf: str) -> list[str]:
+    names = read_table(spark, sf, "gazetteer").select(F.lower(F.regexp_replace("town", " (an der|am) .*", ""))).distinct().limit(MAX_TOWNS + 1).collect()
+    if len(names) > MAX_TOWNS:
+        raise ValueError(f"more than {MAX_TOWNS} towns")
+    return sorted(r[0] for r in names if r[0])
 
 
 def _hooded(df: DataFrame, towns: list[str]) -> DataFrame:
@@ -34,7 +40,7 @@ def _agree_sql(a: str, b: str) -> str:
 
 def cross_source_links(spark: SparkSession, sf: str) -> DataFrame:
     """Per inbox row, how many rows of its batch show the same object on another portal."""
-    rows = _hooded(read_table(spark, sf, "scan_inbox"), _towns(spark, sf)).select("entry_id", "batch_no", "url", "portal", "price", "m2", "rooms", "hood")
+    rows = _hooded(read_table(spark, sf, "scan_inbox"), town_names(spark, sf)).select("entry_id", "batch_no", "url", "portal", "price", "m2", "rooms", "hood")
     pairs = linkage.cross_source_pairs(rows, "entry_id", ["batch_no"])
     both = pairs.select(F.explode(F.array("id_a", "id_b")).alias("entry_id"), "kind")
     return both.groupBy("entry_id").agg(F.count_if(F.col("kind") == "confirmed").alias("n_confirmed"), F.count_if(F.col("kind") == "numeric").alias("n_numeric"))
@@ -49,7 +55,7 @@ SELECT entry_id, count(*) FILTER (WHERE kind = 'confirmed') AS n_confirmed, coun
 
 def best_match(spark: SparkSession, sf: str) -> DataFrame:
     """For every fiftieth inbox row the best row of the whole tracker."""
-    towns = _towns(spark, sf)
+    towns = town_names(spark, sf)
     cols = ["price", "m2", "rooms", "hood"]
     queries = _hooded(read_table(spark, sf, "scan_inbox").where("entry_id % 50 = 0"), towns).select("entry_id", *cols)
     pool = _hooded(read_table(spark, sf, "tracker_additions"), towns).select("addition_id", *cols)
@@ -65,7 +71,7 @@ SELECT entry_id, addition_id, kind, round(gap, 6) AS gap FROM p WHERE kind IS NO
 
 def footprint(spark: SparkSession, sf: str) -> DataFrame:
     """For every fiftieth inbox row, how many adverts of the history show its object."""
-    towns = _towns(spark, sf)
+    towns = town_names(spark, sf)
     cols = ["url", "title", "price", "m2", "rooms", "hood", text.squash(F.col("title")).alias("squashed")]
     targets = _hooded(read_table(spark, sf, "scan_inbox").where("entry_id % 50 = 0"), towns).select("entry_id", *cols)
     pool = _hooded(read_table(spark, sf, "scan_history"), towns).select(*cols)

@@ -132,7 +132,9 @@ trim(regexp_replace(replace(coalesce(notes, ''), '|', '/'), '\\s+', ' ', 'g')) A
 def place_tokens(spark: SparkSession, sf: str) -> DataFrame:
     """Neighbourhood, postcodes and region of every history location."""
     loc = F.col("location")
-    towns = [r[0].lower() for r in read_table(spark, sf, "gazetteer").select(F.regexp_replace("town", " (an der|am) .*", "")).distinct().limit(100_000).collect()]
+    from plotmill.plans.linkage import town_names
+
+    towns = town_names(spark, sf)
     return read_table(spark, sf, "scan_history").select("entry_id", places.neighbourhood(loc, towns).alias("hood"), F.array_join(places.postcodes(loc), ",").alias("codes"), places.outside_region(loc, ["43", "625"]).alias("outside"))
 
 

@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from plotmill.functions.numbers import reconcile_number
 from plotmill.functions.places import neighbourhood
 from plotmill.operators import linkage, maintenance
-from plotmill.plans.linkage import CROSS_SQL, _towns
+from plotmill.plans.linkage import CROSS_SQL, town_names
 from plotmill.runtime import read_table
 from plotmill.sources import reports
 
 
 def duplicates_resolved(spark: SparkSession, sf: str) -> DataFrame:
     """Inbox rows that go, of the confirmed cross-portal pairs of their batch."""
-    rows = read_table(spark, sf, "scan_inbox").withColumn("hood", neighbourhood(F.col("location"), _towns(spark, sf)))
+    rows = read_table(spark, sf, "scan_inbox").withColumn("hood", neighbourhood(F.col("location"), town_names(spark, sf)))
     pairs = linkage.cross_source_pairs(rows.select("entry_id", "batch_no", "url", "portal", "price", "m2", "rooms", "hood"), "entry_id", ["batch_no"])
     rank = F.when(F.col("portal") == "Wohnkompass", 3).when(F.col("portal") == "Mietradar", 2).when(F.col("portal") == "Kiezmarkt", 1)
     return maintenance.resolve_duplicates(pairs, rows, "entry_id", rank).select(F.col("loser").alias("entry_id"))
