@@ -62,7 +62,8 @@ class TokenIndex:
     def build(cls, records: DataFrame, threshold: float = 1.0, buckets: int | None = None) -> TokenIndex:
         """Index ``records`` (``tokens array<string>``, ``since date``). Equal sets are one record; null sets are left out."""
         spark = records.sparkSession
-        sets = materialize(records.where(F.col("tokens").isNotNull()).groupBy("tokens").agg(F.min("since").alias("since")), "index-sets")
+        # no filter on tokens here: it would be pushed below their expressions and evaluate them twice; exploding drops null
+        sets = materialize(records.groupBy("tokens").agg(F.min("since").alias("since")), "index-sets")
         counts = sets.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
         index = cls(spark, materialize(counts, "index-frequent"), threshold, buckets or max(shuffle_partitions(spark), 8))
         index._write(index._prefixes(sets.withColumns({"entry_id": F.lit(None).cast("bigint"), "batch_no": F.lit(None).cast("int")})))
@@ -84,7 +85,7 @@ class TokenIndex:
         """Prefixes of pending rows (``entry_id, batch_no, tokens, since``), in the shared folder by batch. The order of
         tokens is frozen, so they don't depend on what is accepted meanwhile. Rows of equal sets are reduced to the first
         one of their batch before the shuffle, so a hot set is one row."""
-        sets = rows.where(F.col("tokens").isNotNull()).groupBy("batch_no", "tokens").agg(F.min("entry_id").alias("entry_id"), F.min("since").alias("since"))
+        sets = rows.groupBy("batch_no", "tokens").agg(F.min("entry_id").alias("entry_id"), F.min("since").alias("since"))
         return materialize(self._prefixes(sets), "batch-prefixes", "batch_no")
 
     def _write(self, postings: DataFrame) -> None:
@@ -123,9 +124,9 @@ def known_rows(history: DataFrame, inbox: DataFrame, threshold: float = 1.0) ->
     without tokens name no record and are never known. A null ``batch_no`` comes after all others. The number of batches
     is what the loop on the driver runs over; each round reads one batch and the index.
     """
-    pending = materialize(inbox.where(F.col("tokens").isNotNull() & F.col("entry_id").isNotNull()).select("entry_id", F.coalesce("batch_no", F.lit(2**31 - 1)).alias("batch_no"), "tokens", "since"), "inbox-tokens")
+    pending = materialize(inbox.where(F.col("entry_id").isNotNull()).select("entry_id", F.coalesce("batch_no", F.lit(2**31 - 1)).alias("batch_no"), "tokens", "since"), "inbox-tokens")
     index = TokenIndex.build(history, threshold)
     staged = index.stage(pending)
     for (batch,) in staged.select("batch_no").distinct().orderBy("batch_no").collect():
         index.accept(staged.where(F.col("batch_no") == batch))
-    return pending.select("entry_id").join(index.accepted(), "entry_id", "left_anti")
+    return pending.where(F.col("tokens").isNotNull()).select("entry_id").join(index.accepted(), "entry_id", "left_anti")
