@@ -153,6 +153,19 @@ def test_queue_rows(spark):
     assert [(r.url[-1], r.price, r.m2, r.rooms, r.location) for r in got] == [("1", 1200.0, 72.5, 2.5, "golm, x"), ("2", 0.0, 80.0, 3.0, "golm")]
 
 
+def test_queue_lines_of_all_rows(spark, tmp_path):
+    from plotmill.plans import captures
+
+    rows = [
+        (1, "3 Zi. mit Balkon", None), (2, "2,5-Zimmer-Wohnung", 0.0), (3, "4 Räume", 3.5), (4, None, None), (5, "", 2.0), (6, "Loft", None), (7, "1-Raum | hell", None), (8, "1.250 Zimmer", None), (9, "4 RÄUME", None),
+    ]
+    df = spark.createDataFrame([(k, f"https://p.example/{k}", "p", t, 900.0, 50.5, r, "Golm") for k, t, r in rows], "entry_id bigint, url string, portal string, title string, price double, m2 double, rooms double, location string")
+    df.write.parquet(f"{tmp_path}/scan_history.parquet")
+    got = {r.entry_id: (r.title, r.rooms, r.m2, r.location) for r in captures.queue_lines_all(spark, str(tmp_path)).collect()}
+    rooms = {1: 3.0, 2: 2.5, 3: 3.5, 4: 0.0, 5: 2.0, 6: 0.0, 7: 1.0, 8: 1250.0, 9: 0.0}
+    assert got == {k: ((t or "").replace("|", "/"), rooms[k], 50.5, "golm") for k, t, _ in rows}
+
+
 def test_correspondence(spark):
     log = "# Log\n## 2026-07-01 10:15 · email · → sent\nhi\n**Next:** wait\n**Next:** second\n## Notes\n**Next:** no\n## 2026-07-03 · phone · ← received\nbye"
     got = markdown.correspondence(spark.createDataFrame([(1, log), (2, None), (3, "")], "id bigint, text string"), "id").orderBy("block").collect()
