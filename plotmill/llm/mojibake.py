@@ -19,15 +19,15 @@ from collections.abc import Iterator
 from functools import lru_cache
 from urllib.parse import unquote
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plotmill.runtime import materialize
 
-#: Contexts sent to the executors: those that hold at least this share of all characters that aren't ASCII, so at most
-#: 1 / share of them.
-CONTEXT_SHARE = 2e-6
+#: Contexts are sent to the executors whole, 16 bytes each; a corpus with more of them is refused.
+MAX_CONTEXTS = 8_000_000
 #: Nats by which a state must be cheaper: to convict a document alone, or together with another run of it.
 STRONG, WEAK = 3.5, 2.0
 #: Nats that a step costs: mending UTF-8, which accidental text rarely allows, and swapping single-byte character sets,
@@ -123,18 +123,28 @@ def neighbours(text: str, swapped: bool) -> Iterator[tuple[str, bool]]:
         yield unquote(text), swapped
 
 
+def pack(left: Column, c: Column, right: Column) -> Column:
+    """A context as one number: a code point has at most 21 bits."""
+    code = lambda x: F.ascii(x).cast("bigint")
+    return F.shiftleft(code(left), 42) + F.shiftleft(code(c), 21) + code(right)
+
+
 class Plausibility:
-    """Costs of characters, from the corpus' counts of (left class, character, right class)."""
+    """Costs of characters, from the corpus' counts of (left class, character, right class), packed by ``pack`` and sorted."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.keys, self.counts = keys, counts
+        self.single = {chr(c) for c in np.unique(keys >> 21 & 0x1FFFFF).tolist()}
+        self.total = int(counts.sum()) + 1
+        self.count = lru_cache(1 << 16)(self._count)
 
-    def __init__(self, contexts: list[tuple[str, str, str, int]]) -> None:
-        self.context = {(a, c, b): n for a, c, b, n in contexts}
-        self.single: dict[str, int] = {}
-        for _, c, _, n in contexts:
-            self.single[c] = self.single.get(c, 0) + n
-        self.total = sum(self.single.values()) + 1
+    def _count(self, left: str, c: str, right: str) -> int:
+        key = ord(left) << 42 | ord(c) << 21 | ord(right)
+        at = int(np.searchsorted(self.keys, key))
+        return int(self.counts[at]) if at < len(self.keys) and self.keys[at] == key else 0
 
     def _char(self, left: str, c: str, right: str) -> float:
-        n = self.context.get((left, c, right), 0)
+        n = self.count(left, c, right)
         cost = math.log(self.total / (n or 0.3)) + (0 if c in self.single else 4)
         kind = unicodedata.category(c)
         if c == "�" or kind in ("Cc", "Co", "Cn"):
@@ -181,13 +191,13 @@ class Plausibility:
         return best, own - best_cost
 
 
-def judge_runs(distinct_runs: DataFrame, contexts: list[tuple[str, str, str, int]]) -> DataFrame:
+def judge_runs(distinct_runs: DataFrame, contexts: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """``l, run, r, restored, strong`` of the suspicious ones; ``restored`` is null where no original can be reached,
     ``strong`` tells whether the run alone shows that its document is garbled."""
     shared = distinct_runs.sparkSession.sparkContext.broadcast(contexts)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = Plausibility(shared.value)
+        model = Plausibility(*shared.value)
         for pdf in batches:
             out = []
             for a, text, b in zip(pdf["l"], pdf["run"], pdf["r"], strict=True):
@@ -211,10 +221,13 @@ def garbled(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = runs(picked)
     distinct_runs = materialize(found.groupBy("l", "run", "r").agg(F.count(F.lit(1)).alias("n")), "garble-runs")
     chars = F.transform(F.sequence(F.lit(1), F.length("run")), lambda k: F.struct(F.when(k == 1, F.col("l")).otherwise(F.substring("run", k - 1, F.lit(1))).alias("l"), F.substring("run", k, F.lit(1)).alias("c"), F.when(k == F.length("run"), F.col("r")).otherwise(F.substring("run", k + 1, F.lit(1))).alias("r")))
-    counts = materialize(distinct_runs.select(F.explode(chars).alias("z"), "n").groupBy("z.l", "z.c", "z.r").agg(F.sum("n").alias("n")), "garble-contexts")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    contexts = [tuple(x) for x in counts.where(F.col("n") >= total * CONTEXT_SHARE).toLocalIterator()]
-    return found, materialize(judge_runs(distinct_runs, contexts), "garble-verdicts")
+    counts = materialize(distinct_runs.select(F.explode(chars).alias("z"), "n").groupBy(pack(F.col("z.l"), F.col("z.c"), F.col("z.r")).alias("key")).agg(F.sum("n").alias("n")), "garble-contexts")
+    if (n := counts.count()) > MAX_CONTEXTS:
+        raise ValueError(f"{n} contexts of characters, more than {MAX_CONTEXTS}")
+    table = counts.toArrow()
+    keys, n_each = (table.column(c).to_numpy() for c in ("key", "n"))
+    order = np.argsort(keys)
+    return found, materialize(judge_runs(distinct_runs, (keys[order], n_each[order])), "garble-verdicts")
 
 
 def garbled_documents(documents: DataFrame) -> DataFrame:

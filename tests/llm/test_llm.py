@@ -293,6 +293,15 @@ def test_garbled_text_is_found_and_restored(spark):
     assert garbled_documents(df.limit(0)).count() == 0
 
 
+def test_rare_contexts_count_in_large_corpora(spark, monkeypatch):
+    docs = [(1, "ü " * 600_000), (2, "Im Ørt")] + [(10 + k, "Im Ïrt") for k in range(10)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    assert garbled_documents(df).collect() == []
+    monkeypatch.setattr(mojibake, "MAX_CONTEXTS", 2)
+    with pytest.raises(ValueError, match="contexts"):
+        garbled_documents(df)
+
+
 def test_mend():
     assert mojibake.mend("fÃ¼r Ã© ü", "cp1252") == "für é ü"
     assert mojibake.mend("├── MAÇÃ", "cp437") == "├── MAÇÃ"
