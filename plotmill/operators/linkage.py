@@ -51,6 +51,16 @@ def best_match(candidates: DataFrame, candidate_id: str, pool: DataFrame, pool_i
     return candidates.alias("c").join(best, on).select(F.col(f"c.{candidate_id}").alias("candidate"), "s.m.match", "s.m.kind", "s.m.gap")
 
 
+def near_counts(a: DataFrame, b: DataFrame) -> DataFrame:
+    """``portal_a, portal_b, n``: pairs within price and size tolerance with equal rooms, counted per pair of portals.
+
+    Equal shapes are one row with their number on either side, and a pair of shapes counts as the product.
+    """
+    shape = ["portal", "price", "m2", "rooms"]
+    left, right = (df.groupBy(*shape).agg(F.count(F.lit(1)).alias("n")) for df in (a, b))
+    return band_join(left, right, [PRICE, SIZE], ["rooms"]).groupBy(F.col("a.portal").alias("portal_a"), F.col("b.portal").alias("portal_b")).agg(F.sum(F.col("a.n") * F.col("b.n")).alias("n"))
+
+
 def footprint(targets: DataFrame, target_id: str, pool: DataFrame) -> DataFrame:
     """``target, url``: adverts of the pool that show the target's object: sizes within 0.5, equal rooms where both are
     known, places not known to differ, no swap, and either the same squashed title of more than eight characters or a

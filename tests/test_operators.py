@@ -113,6 +113,22 @@ def test_best_match_takes_the_closest_of_all(spark):
     assert linkage.best_match(c.limit(0), "c", pool, "t").count() == 0
 
 
+def test_near_counts_take_all_rows(spark, tmp_path):
+    from plotmill.plans.linkage import near_prices_all
+
+    rng = random.Random(5)
+    row = lambda k: (k, rng.choice(["p", "q", None]), rng.choice([1000.0, 1020.0, 1049.0, 1060.0, None]), rng.choice([50.0, 53.0, 53.5, 0.0]), rng.choice([2.0, 3.0, None]))
+    left, right = [row(k) for k in range(150)], [row(k) for k in range(1, 120)]
+    for name, key, rows in (("tracker_additions", "addition_id", left), ("scan_inbox", "entry_id", right)):
+        spark.createDataFrame(rows, f"{key} bigint, portal string, price double, m2 double, rooms double").write.parquet(f"{tmp_path}/{name}.parquet")
+    want = {}
+    for _, p, x, m, r in left:
+        for _, q, y, n, t in right:
+            if x and y and m and n and r is not None and r == t and abs(x - y) / max(x, y) < 0.05 and abs(m - n) <= 3:
+                want[p, q] = want.get((p, q), 0) + 1
+    assert {(r.portal_a, r.portal_b): r.n for r in near_prices_all(spark, str(tmp_path)).collect()} == want
+
+
 def test_unseen_and_first(spark):
     rows = spark.createDataFrame([(1, "a?x"), (2, "a"), (3, "b"), (4, None), (5, None), (6, "c#1")], "id bigint, url string")
     seen = spark.createDataFrame([("b?z",), (None,)], "url string")
