@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plotmill.functions.places import neighbourhoods_agree
+from plotmill.functions.text import sets_conflict
 from plotmill.operators.bands import Band, band_join
+from plotmill.runtime import materialize
 
 PRICE, SIZE = Band("price", share=0.05), Band("m2", span=3.0)
 
@@ -51,6 +53,51 @@ def best_match(candidates: DataFrame, candidate_id: str, pool: DataFrame, pool_i
     return candidates.alias("c").join(best, on).select(F.col(f"c.{candidate_id}").alias("candidate"), "s.m.match", "s.m.kind", "s.m.gap")
 
 
+def _known(c: str) -> Column:
+    return F.coalesce((F.col(f"a.{c}") > 0) & (F.col(f"b.{c}") > 0), F.lit(False))
+
+
+def _within(c: str, gap: Column, most: float) -> Column:
+    """At most so far apart; unknown passes."""
+    return ~_known(c) | (gap <= most)
+
+
+def known_match(candidates: DataFrame, candidate_id: str, pool: DataFrame, pool_id: str) -> DataFrame:
+    """As ``best_match``, with identity before numbers: equal unit codes, then a known title, confirmed, numeric.
+
+    Both sides have ``price, m2, rooms, hood, codes, tokens`` (arrays of unit codes and of title words), candidates ``key``
+    and the pool ``keys``, title keys. Different unit codes match nothing. A title needs sizes that agree, identity a price
+    within 10 %, unknown ones pass; titles without a common word veto a numeric match. For closeness unknown is 0.
+    """
+    shape = ["price", "m2", "rooms", "hood", "codes", "tokens"]
+    wanted = materialize(candidates.select(*shape, "key").distinct(), "match-wanted")
+    offered = materialize(pool.groupBy(*shape, "keys").agg(F.min(pool_id).alias("match")), "match-offered")
+    gap = lambda c: F.abs(F.col(f"a.{c}") - F.col(f"b.{c}"))
+    share = gap("price") / F.greatest("a.price", "b.price")
+    priced, sized = _within("price", share, 0.10), _within("m2", gap("m2"), 3.0) & _within("rooms", gap("rooms"), 0.5)
+    both_coded = (F.size("a.codes") > 0) & (F.size("b.codes") > 0)
+    unit = F.arrays_overlap("a.codes", "b.codes")
+    title = ~both_coded & (F.col("b.key") != "") & F.array_contains("a.keys", F.col("b.key")) & sized
+    veto = (F.col("kind") == "numeric") & sets_conflict(F.col("a.tokens"), F.col("b.tokens"))
+    value = lambda c: F.when(F.col(c) > 0, F.col(c)).otherwise(0.0)
+    price_a, price_b = value("a.price"), value("b.price")
+    close = F.abs(price_a - price_b) / F.greatest(price_a, price_b, F.lit(1.0)) / 0.05 + F.abs(value("a.m2") - value("b.m2")) / 3
+
+    def scored(pairs: DataFrame, kind: Column) -> DataFrame:
+        rank = F.when(F.col("kind") == "unit", -2).when(F.col("kind") == "title", -1).when(F.col("kind") == "confirmed", 0).otherwise(1)
+        m = F.struct(rank.alias("rank"), close.alias("gap"), F.col("a.match").alias("match"), F.col("kind"))
+        return pairs.withColumn("kind", kind).where(F.col("kind").isNotNull() & ~veto).select(*[F.col(f"b.{c}").alias(c) for c in (*shape, "key")], m.alias("m"))
+
+    by = lambda df, c: df.withColumn("on", F.explode(c))
+    coded = by(offered, "codes").alias("a").join(by(wanted, "codes").alias("b"), F.col("a.on") == F.col("b.on"))
+    titled = by(offered, "keys").alias("a").join(wanted.where("key <> ''").alias("b"), F.col("a.on") == F.col("b.key"))
+    near = band_join(offered, wanted, [PRICE, SIZE], residue=~(unit | title) & ~sets_conflict(F.col("a.codes"), F.col("b.codes")))
+    pairs = scored(coded, F.when(priced, "unit")).unionByName(scored(titled, F.when(title & priced, "title"))).unionByName(scored(near, match_kind()))
+    best = pairs.groupBy(*shape, "key").agg(F.min("m").alias("m")).alias("s")
+    on = [F.col(f"c.{c}").eqNullSafe(F.col(f"s.{c}")) for c in (*shape, "key")]
+    return candidates.alias("c").join(best, on).select(F.col(f"c.{candidate_id}").alias("candidate"), "s.m.match", "s.m.kind", "s.m.gap")
+
+
 def near_counts(a: DataFrame, b: DataFrame) -> DataFrame:
     """``portal_a, portal_b, n``: pairs within price and size tolerance with equal rooms, counted per pair of portals.
 

@@ -54,7 +54,8 @@ SELECT entry_id, count(*) FILTER (WHERE kind = 'confirmed') AS n_confirmed, coun
 
 
 def best_match(spark: SparkSession, sf: str) -> DataFrame:
-    """For every fiftieth inbox row the best row of the whole tracker."""
+    """For every fiftieth inbox row the best row of the whole tracker by numbers and place; with unit codes and titles it is
+    ``best_match_known``."""
     towns = town_names(spark, sf)
     cols = ["price", "m2", "rooms", "hood"]
     queries = _hooded(read_table(spark, sf, "scan_inbox").where("entry_id % 50 = 0"), towns).select("entry_id", *cols)
@@ -69,6 +70,22 @@ p AS (SELECT *, CASE WHEN ({_agree_sql("ha", "hb")}) THEN 'confirmed' WHEN ({_ag
 SELECT entry_id, addition_id, kind, round(gap, 6) AS gap FROM p WHERE kind IS NOT NULL QUALIFY row_number() OVER (PARTITION BY entry_id ORDER BY kind, gap, addition_id) = 1"""
 
 
+def best_match_known(spark: SparkSession, sf: str) -> DataFrame:
+    """As ``best_match``, with unit codes and titles; a tracker row's titles are those that the history has at its report's
+    address, the first of them is the report's."""
+    towns = town_names(spark, sf)
+    title = F.col("title")
+    inbox = _hooded(read_table(spark, sf, "scan_inbox").where("entry_id % 50 = 0"), towns)
+    queries = inbox.select("entry_id", "price", "m2", "rooms", "hood", text.unit_codes(title).alias("codes"), text.title_tokens(title).alias("tokens"), text.title_key(title).alias("key"))
+    seen = read_table(spark, sf, "scan_history").where("url <> '' and title <> ''").select("url", "entry_id", "title")
+    paths = read_table(spark, sf, "reports").where("url <> ''").select("path", "url").distinct()
+    keys = F.sort_array(F.array_remove(F.collect_set(text.title_key(F.col("title"))), ""))
+    titles = paths.join(seen, "url").groupBy("path").agg(F.min_by("title", "entry_id").alias("title"), keys.alias("keys"))
+    rows = _hooded(read_table(spark, sf, "tracker_additions"), towns).withColumn("path", F.regexp_extract(F.coalesce("report", F.lit("")), "reports/.*?\\.md", 0))
+    pool = rows.join(titles, "path", "left").select("addition_id", "price", "m2", "rooms", "hood", text.unit_codes(F.concat_ws(" ", "title", "notes")).alias("codes"), text.title_tokens(F.col("title")).alias("tokens"), F.coalesce("keys", F.array().cast("array<string>")).alias("keys"))
+    return linkage.known_match(queries, "entry_id", pool, "addition_id").select(F.col("candidate").alias("entry_id"), F.col("match").alias("addition_id"), "kind", F.round("gap", 6).alias("gap"))
+
+
 def footprint(spark: SparkSession, sf: str) -> DataFrame:
     """For every fiftieth inbox row, how many adverts of the history show its object."""
     towns = town_names(spark, sf)
@@ -219,3 +236,4 @@ NEAR_ALL_SQL = "SELECT a.portal AS portal_a, b.portal AS portal_b, count(*) AS n
 
 QUERIES = {f.__name__: f for f in (cross_source_links, best_match, footprint, seen_antijoin, failures_carried, merge_staged, updates_applied, notes_appended, reconcile_diffs, size_bands, missing_combinations, price_as_of, near_prices, near_prices_all)}
 ORACLES = dict(zip(QUERIES, (CROSS_SQL, BEST_SQL, FOOTPRINT_SQL, SEEN_SQL, CARRY_SQL, MERGE_SQL, APPLY_SQL, NOTES_SQL, _reconcile_sql(), BANDS_SQL, MISSING_SQL, ASOF_SQL, NEAR_SQL, NEAR_ALL_SQL), strict=True))
+QUERIES["best_match_known"] = best_match_known

@@ -113,6 +113,24 @@ def test_best_match_takes_the_closest_of_all(spark):
     assert linkage.best_match(c.limit(0), "c", pool, "t").count() == 0
 
 
+def test_known_match_ranks_and_vetoes(spark):
+    s = "price double, m2 double, rooms double, hood string, codes array<string>, tokens array<string>"
+    t, k = ["brauhausberg"], "wohnen am brauhausberg"
+    wanted = [
+        (1, 1000.0, 80.0, 3.0, "golm", ["H4-00-02"], [], ""),  # unit 8 % off before the numbers of another unit
+        (2, None, 60.0, 2.0, "", [], t, k),  # known title, unknown price
+        (3, 500.0, 40.0, 1.0, "", [], ["seeblick"], ""),  # numeric, but the titles conflict
+        (4, 700.0, 50.0, 2.0, "kiez", ["H5-00-01"], [], ""),  # only another unit is near
+        (5, 600.0, 60.0, 3.0, "", [], t, k),  # the title's rooms differ
+    ]
+    pool = [
+        (10, 1080.0, 80.0, 3.0, "golm", ["H4-00-02"], [], []), (11, 1000.0, 80.0, 3.0, "golm", ["H4-01-03"], [], []), (12, 1000.0, 80.0, 3.0, "golm", [], [], []),
+        (13, 900.0, 61.0, 2.5, "west", [], t, [k]), (14, 500.0, 40.0, 1.0, "", [], ["garten"], []), (15, 700.0, 50.0, 2.0, "kiez", ["H5-00-02"], [], []),
+    ]
+    c, e = spark.createDataFrame(wanted, f"c bigint, {s}, key string"), spark.createDataFrame(pool, f"t bigint, {s}, keys array<string>")
+    assert sorted((r.candidate, r.match, r.kind) for r in linkage.known_match(c, "c", e, "t").collect()) == [(1, 10, "unit"), (2, 13, "title")]
+
+
 def test_near_counts_take_all_rows(spark, tmp_path):
     from plotmill.plans.linkage import near_prices_all
 
