@@ -1,34 +1,47 @@
-"""Numbers written in several notations, as exact decimals."""
+"""Numbers written in several notations, as canonical text: two numbers are equal exactly if their texts are.
+
+The canonical text has a sign only for negative numbers, no leading or closing zeros and no exponent. It has no bound on
+digits, so no number is rounded or lost.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Exact to four decimals; wider decimals would leave the 64-bit representation.
-EXACT = "decimal(18,4)"
-
 #: A number with group and decimal separators; blanks, thin blanks and apostrophes only group.
 _BODY = "[0-9]+(?:[.,'’ \\u00a0\\u2009\\u202f][0-9]+)*"
 
 
+def _canonical(negative: Column, whole: Column, fraction: Column) -> Column:
+    """Null if all digits are 0 or there are none."""
+    whole = F.regexp_replace(whole, "^0+(?=[0-9])", "")
+    fraction = F.regexp_replace(fraction, "0+\\z", "")
+    text = F.concat(F.when(negative, "-").otherwise(""), F.when(whole == "", "0").otherwise(whole), F.when(fraction == "", "").otherwise(F.concat(F.lit("."), fraction)))
+    return F.when(text.rlike("[1-9]"), text)
+
+
 def exact_from_text(text: Column) -> Column:
     """The number a text denotes, or null for null, 0, empty text and text without a digit (all of them "unknown").
 
     A separator before exactly three digits groups thousands, the last one before another count of digits is the decimal
     sign; ``½ ¼ ¾`` after a digit are decimals. Units and words around the number don't count; of several numbers the
-    first is taken. A minus sign right before the first digit counts. Beyond ``decimal(18,4)`` the result is null.
+    first is taken. A minus sign right before the first digit counts.
     """
     plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "(?<=[0-9]) ?½", ",5"), "(?<=[0-9]) ?¼", ",25"), "(?<=[0-9]) ?¾", ",75")
     body = F.regexp_extract(plain, f"[-−]?{_BODY}", 0)
     fraction = F.regexp_extract(body, "[.,]([0-9]{1,2}|[0-9]{4,})\\z", 1)
     whole = F.regexp_replace(F.left(body, F.length(body) - F.length(fraction)), "[^0-9]", "")
-    sign = F.when(body.rlike("^[-−]"), F.lit("-")).otherwise(F.lit(""))
-    value = F.concat(sign, whole, F.lit("."), fraction, F.lit("0")).try_cast(EXACT)
-    return F.when((body != "") & (value != 0), value)
+    return _canonical(body.rlike("^[-−]"), whole, fraction)
 
 
 def exact_from_double(number: Column) -> Column:
-    """The exact decimal of a double's shortest notation; null for null, NaN, infinity and 0 ("unknown")."""
-    value = F.when(~F.isnan(number), number).try_cast(EXACT)
-    return F.when(value != 0, value)
+    """The number of a double's shortest notation; null for null, NaN, infinity and 0 ("unknown")."""
+    text = number.cast("string")
+    mantissa = F.regexp_extract(text, "^-?([0-9]+\\.?[0-9]*)", 1)
+    whole, fraction = F.substring_index(mantissa, ".", 1), F.regexp_extract(mantissa, "\\.([0-9]*)", 1)
+    digits = F.concat(whole, fraction)
+    point = F.length(whole) + F.regexp_extract(text, "E(-?[0-9]+)\\z", 1).cast("int")
+    far = F.when(point <= 0, _canonical(number < 0, F.lit("0"), F.concat(F.repeat(F.lit("0"), -point), digits))).otherwise(_canonical(number < 0, F.rpad(F.left(digits, point), point, "0"), F.substring(digits, point + 1, F.length(digits))))
+    # Java's shortest notation has an exponent below 0.001 and from 10,000,000 on
+    return F.when(F.contains(text, F.lit("E")), far).otherwise(_canonical(number < 0, whole, fraction))

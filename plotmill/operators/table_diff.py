@@ -3,6 +3,9 @@
 Each side is reduced to one checksum per leaf range of keys; coarser levels are rolled up from the leaves. The search
 starts at the coarsest level and goes down only into ranges whose checksums differ. Rows are read again and compared
 field by field only in the leaves that are left, so equal ranges never move a row between executors.
+
+A checksum is the sum of the rows' 64-bit hashes, in two halves of 32 bits, and their count. Sums, unlike exclusive
+ors, don't cancel when a row is there twice.
 """
 
 from __future__ import annotations
@@ -14,11 +17,18 @@ from pyspark.sql import functions as F
 
 from plotmill.runtime import materialize
 
-#: Keys per leaf range, and children per range of the next coarser level.
+#: Keys per leaf range, and children per range of the next coarser level; the coarsest level has about as many ranges.
 LEAF_KEYS = 8
 FANOUT = 64
-#: The coarsest level has at most so many ranges.
-TOP_RANGES = 4096
+
+_HALF = (1 << 32) - 1
+_SUMS = ("lo", "hi", "n")
+
+
+def _summed(rows: DataFrame, by: Column) -> DataFrame:
+    """Sums per range; halves are kept below 2 ** 32, so a sum of 2 ** 31 rows or ranges fits, and more raise an error."""
+    sums = rows.groupBy(by.alias("range")).agg(*[F.sum(c).alias(c) for c in _SUMS])
+    return sums.select("range", *[F.col(c).bitwiseAND(F.lit(_HALF)).alias(c) for c in ("lo", "hi")], "n")
 
 
 def _leaves(side: DataFrame, key: str, fields: list[str], leaf_keys: int) -> DataFrame:
@@ -26,48 +36,50 @@ def _leaves(side: DataFrame, key: str, fields: list[str], leaf_keys: int) -> Dat
     parts: list[Column] = [F.col(key)]
     for f in fields:
         parts += [F.col(f), F.col(f).isNull()]
-    return (
-        side.where(F.col(key).isNotNull())
-        .select(F.floor(F.col(key) / leaf_keys).cast("bigint").alias("range"), F.xxhash64(*parts).alias("h"))
-        .groupBy("range")
-        .agg(F.bit_xor("h").alias("x"), F.count(F.lit(1)).alias("n"))
-    )
+    hashed = side.where(F.col(key).isNotNull()).select(F.floor(F.col(key) / leaf_keys).cast("bigint").alias("range"), F.xxhash64(*parts).alias("h"))
+    halves = hashed.select("range", F.col("h").bitwiseAND(F.lit(_HALF)).alias("lo"), F.shiftrightunsigned("h", 32).alias("hi"), F.lit(1).cast("bigint").alias("n"))
+    return _summed(halves, F.col("range"))
 
 
 def _roll_up(level: DataFrame, fanout: int) -> DataFrame:
-    return level.groupBy(F.floor(F.col("range") / fanout).cast("bigint").alias("range")).agg(F.bit_xor("x").alias("x"), F.sum("n").alias("n"))
+    return _summed(level, F.floor(F.col("range") / fanout).cast("bigint"))
 
 
 def _mismatched(left: DataFrame, right: DataFrame) -> DataFrame:
     a, b = left.alias("a"), right.alias("b")
-    same = F.col("a.x").eqNullSafe(F.col("b.x")) & F.col("a.n").eqNullSafe(F.col("b.n"))
+    same = reduce(Column.__and__, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in _SUMS])
     return a.join(b, F.col("a.range") == F.col("b.range"), "full_outer").where(~same).select(F.coalesce("a.range", "b.range").alias("range"))
 
 
+def differing_ranges(left: DataFrame, right: DataFrame, key: str, fields: list[str], leaf_keys: int = LEAF_KEYS, fanout: int = FANOUT) -> list[DataFrame]:
+    """The ranges whose checksums differ, one table per level from the coarsest down to the leaves. Every level is
+    written, as the next one reads it twice; each has only the children of the ranges that differ above it."""
+    levels = [tuple(materialize(_leaves(s, key, fields, leaf_keys), "diff-leaves") for s in (left, right))]
+    low, high = levels[0][0].unionByName(levels[0][1]).agg(F.min("range"), F.max("range")).first()
+    width = 0 if low is None else high - low + 1
+    while width > fanout:
+        levels.append(tuple(materialize(_roll_up(s, fanout), "diff-level") for s in levels[-1]))
+        width = -(-width // fanout) + 1
+    bad = [materialize(_mismatched(*levels[-1]), "diff-ranges")]
+    for down in reversed(levels[:-1]):
+        parents = bad[-1].withColumnRenamed("range", "parent")
+        children = [s.join(parents, F.floor(F.col("range") / fanout).cast("bigint") == F.col("parent"), "left_semi") for s in down]
+        bad.append(materialize(_mismatched(*children), "diff-ranges"))
+    return bad
+
+
 def table_diff(left: DataFrame, right: DataFrame, key: str, fields: list[str], *, left_name: str, right_name: str, leaf_keys: int = LEAF_KEYS, fanout: int = FANOUT) -> DataFrame:
     """``(key, issue)`` rows: ``missing_in_<name>`` for keys on one side only, else one row per differing field.
 
     ``key`` is integral; ``fields`` are already canonical (equal values compare equal, null means unknown and equals
-    null). Repeated rows of a key that agree count once; if copies of a key disagree, a field is reported when any pair
-    of copies differs. Rows with a null key match nothing and are reported as missing on the other side, once for each
-    distinct row. Empty tables are allowed; other columns are ignored, whatever their names.
+    null). Repeated rows of a key that agree count once (a range where only their number differs is visited and gives no
+    row); if copies of a key disagree, a field is reported when any pair of copies differs. Rows with a null key match
+    nothing and are reported as missing on the other side, once for each distinct row. Empty tables are allowed; other
+    columns are ignored, whatever their names. The checksums are computed while the plan is built.
     """
     keep = [key, *fields]
     left, right = left.select(*keep), right.select(*keep)
-    a, b = (materialize(_leaves(s, key, fields, leaf_keys), "diff-leaves") for s in (left, right))
-
-    low, high = a.unionByName(b).agg(F.min("range"), F.max("range")).first()
-    levels = [(a, b)]
-    width = 0 if low is None else high - low + 1
-    while width > TOP_RANGES:
-        levels.append(tuple(_roll_up(s, fanout) for s in levels[-1]))
-        width = -(-width // fanout) + 1
-    bad = _mismatched(*levels[-1])
-    for down in reversed(levels[:-1]):
-        parents = bad.withColumnRenamed("range", "parent")
-        children = [s.join(parents, F.floor(F.col("range") / fanout).cast("bigint") == F.col("parent"), "left_semi") for s in down]
-        bad = _mismatched(*children)
-    bad = materialize(bad, "diff-ranges")
+    bad = differing_ranges(left, right, key, fields, leaf_keys, fanout)[-1]
 
     def in_bad(side: DataFrame) -> DataFrame:
         inside = side.join(bad, F.floor(F.col(key) / leaf_keys).cast("bigint") == F.col("range"), "left_semi")

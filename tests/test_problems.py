@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plotmill.functions.exact_numbers import exact_from_double, exact_from_text
 from plotmill.operators import references as refs
-from plotmill.operators.table_diff import table_diff
+from plotmill.operators.table_diff import differing_ranges, table_diff
 from plotmill.sources.delimited import line_errors, parse_tracker_lines, tracker_rows
 
 D = datetime.date
@@ -26,7 +26,19 @@ def test_exact_numbers(spark):
     df = spark.createDataFrame([(k,) for k in cases], "t string").select("t", exact_from_text(F.col("t")).cast("double").alias("v"))
     assert {r.t: r.v for r in df.collect()} == cases
     df = spark.createDataFrame([(81.9,), (0.0,), (float("nan"),), (None,)], "v double").select(exact_from_double(F.col("v")).cast("string").alias("v"))
-    assert [r.v for r in df.collect()] == ["81.9000", None, None, None]
+    assert [r.v for r in df.collect()] == ["81.9", None, None, None]
+
+
+def test_exact_numbers_have_no_bound(spark):
+    """The same number in two notations is equal at any size, and numbers that differ anywhere aren't."""
+    texts = ["1,00001", "1,00002", "123456789012345678901234567890", "12.345.678.901.234.567.890,5", "-0,50", "007", "1e5 m"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(exact_from_text(F.col("t")).alias("v"))
+    assert [r.v for r in df.collect()] == ["1.00001", "1.00002", "123456789012345678901234567890", "12345678901234567890.5", "-0.5", "7", "1"]
+    numbers = [1e7, 1.5e22, 1.25e-5, -3.0, 12345678.25, 1e-300, float("inf"), -0.0, 5e-324]
+    df = spark.createDataFrame([(n,) for n in numbers], "n double").select("n", exact_from_double(F.col("n")).alias("v"))
+    got = [r.v for r in df.collect()]
+    assert got[:5] == ["10000000", "15" + "0" * 21, "0.0000125", "-3", "12345678.25"] and got[6:8] == [None, None]
+    assert all(v is None or float(v) == n for n, v in zip(numbers, got))
 
 
 def test_table_diff_cases(spark):
@@ -59,6 +71,37 @@ def test_table_diff_descends(spark):
     assert set(diff(frame(a), frame(b))) == want
 
 
+def brute_diff(a, b):
+    """Field by field over all pairs of copies."""
+    out = set()
+    for k in {r[0] for r in a} | {r[0] for r in b}:
+        l, r = [x for x in a if x[0] == k], [x for x in b if x[0] == k]
+        out |= {(k, "missing_in_b")} if not r else {(k, "missing_in_a")} if not l else {(k, f) for x in l for y in r for f, p, q in (("x", x[1], y[1]), ("y", x[2], y[2])) if p != q}
+    return out
+
+
+def test_table_diff_of_doubled_rows(spark):
+    """Copies don't cancel in a checksum, whether the key or only a value differs."""
+    frame = lambda d: spark.createDataFrame(d, "k bigint, x double, y string")
+    assert diff(frame([(1, 1.0, "u")] * 2), frame([(2, 5.0, "u")] * 2)) == [(1, "missing_in_b"), (2, "missing_in_a")]
+    assert diff(frame([(1, 1.0, "u")] * 2), frame([(1, 5.0, "u")] * 2)) == [(1, "x")]
+    rng = random.Random(3)
+    row = lambda: (rng.randint(0, 60), float(rng.randint(0, 2)), rng.choice(["u", None]))
+    for copies in (2, 4):
+        a, b = [[r for r in (row() for _ in range(60)) for _ in range(rng.choice([1, copies]))] for _ in range(2)]
+        assert set(diff(frame(a), frame(b))) == brute_diff(a, b)
+
+
+def test_table_diff_bisects_over_three_levels(spark):
+    """With a fan-out of 4 only children of ranges that differ are looked at."""
+    a = spark.range(4000).select(F.col("id").alias("k"), (F.col("id") % 7).cast("double").alias("x"), F.lit("u").alias("y"))
+    b = a.withColumn("x", F.when(F.col("k").isin(5, 3111), -1.0).otherwise(F.col("x")))
+    levels = [sorted(r.range for r in t.collect()) for t in differing_ranges(a, b, "k", ["x", "y"], fanout=4)]
+    assert len(levels) >= 4 and levels[-1] == [0, 388] and all(len(v) <= 2 for v in levels)
+    assert all(sorted({r // 4 for r in down}) == up for up, down in zip(levels, levels[1:]))
+    assert set(diff(a, b, fanout=4)) == {(5, "x"), (3111, "x")}
+
+
 GOOD = "7\t2026-01-01\tP\tmiete\tOrt\t1.200\t60,5\t2\t3.4\tNew\treports/7.md"
 
 
