@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 _BODY = "[0-9]+(?:[.,'’ \\u00a0\\u2009\\u202f][0-9]+)*"
 
 
-def _canonical(negative: Column, whole: Column, fraction: Column) -> Column:
-    """Null if all digits are 0 or there are none."""
-    whole = F.regexp_replace(whole, "^0+(?=[0-9])", "")
-    fraction = F.regexp_replace(fraction, "0+\\z", "")
-    text = F.concat(F.when(negative, "-").otherwise(""), F.when(whole == "", "0").otherwise(whole), F.when(fraction == "", "").otherwise(F.concat(F.lit("."), fraction)))
-    return F.when(text.rlike("[1-9]"), text)
+def _canonical(plain: Column) -> Column:
+    """From an optional sign, digits and an optional point with digits; null for anything else, and if all digits are 0.
+    Each step uses the one before once, so that generated code stays small."""
+    leading = F.regexp_replace(plain, "^(-?)0+(?=[0-9])", "$1")
+    closing = F.regexp_replace(F.regexp_replace(leading, "\\.([0-9]*?)0*\\z", ".$1"), "\\.\\z", "")
+    return F.get(F.regexp_extract_all(closing, F.lit("\\A-?[0-9.]*[1-9][0-9.]*\\z"), F.lit(0)), F.lit(0))
 
 
 def exact_from_text(text: Column) -> Column:
@@ -30,18 +30,20 @@ def exact_from_text(text: Column) -> Column:
     """
     plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "(?<=[0-9]) ?½", ",5"), "(?<=[0-9]) ?¼", ",25"), "(?<=[0-9]) ?¾", ",75")
     body = F.regexp_extract(plain, f"[-−]?{_BODY}", 0)
-    fraction = F.regexp_extract(body, "[.,]([0-9]{1,2}|[0-9]{4,})\\z", 1)
-    whole = F.regexp_replace(F.left(body, F.length(body) - F.length(fraction)), "[^0-9]", "")
-    return _canonical(body.rlike("^[-−]"), whole, fraction)
+    pointed = F.regexp_replace(body, "[.,](?=(?:[0-9]{1,2}|[0-9]{4,})\\z)", "p")
+    return _canonical(F.translate(F.regexp_replace(pointed, "[^-−0-9p]", ""), "−p", "-."))
 
 
 def exact_from_double(number: Column) -> Column:
     """The number of a double's shortest notation; null for null, NaN, infinity and 0 ("unknown")."""
+
+    def unfolded(text: Column) -> Column:
+        """Without the exponent, which Java's shortest notation has below 0.001 and from 10,000,000 on."""
+        sign, whole, fraction = (F.regexp_extract(text, "^(-?)([0-9]+)\\.?([0-9]*)", k) for k in (1, 2, 3))
+        digits, point = F.concat(whole, fraction), F.length(whole) + F.regexp_extract(text, "E(-?[0-9]+)\\z", 1).cast("int")
+        small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits)
+        return F.concat(sign, F.when(point <= 0, small).otherwise(F.concat(F.rpad(F.left(digits, point), point, "0"), F.lit("."), F.substring(digits, point + 1, F.length(digits)))))
+
     text = number.cast("string")
-    mantissa = F.regexp_extract(text, "^-?([0-9]+\\.?[0-9]*)", 1)
-    whole, fraction = F.substring_index(mantissa, ".", 1), F.regexp_extract(mantissa, "\\.([0-9]*)", 1)
-    digits = F.concat(whole, fraction)
-    point = F.length(whole) + F.regexp_extract(text, "E(-?[0-9]+)\\z", 1).cast("int")
-    far = F.when(point <= 0, _canonical(number < 0, F.lit("0"), F.concat(F.repeat(F.lit("0"), -point), digits))).otherwise(_canonical(number < 0, F.rpad(F.left(digits, point), point, "0"), F.substring(digits, point + 1, F.length(digits))))
-    # Java's shortest notation has an exponent below 0.001 and from 10,000,000 on
-    return F.when(F.contains(text, F.lit("E")), far).otherwise(_canonical(number < 0, whole, fraction))
+    # bound in a lambda, as it is used many times; hardly any row comes here
+    return _canonical(F.when(F.contains(text, F.lit("E")), F.get(F.transform(F.array(text), unfolded), F.lit(0))).otherwise(text))
