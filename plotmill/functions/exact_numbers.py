@@ -28,7 +28,8 @@ def exact_from_text(text: Column) -> Column:
     sign; ``½ ¼ ¾`` after a digit are decimals. Units and words around the number don't count; of several numbers the
     first is taken. A minus sign right before the first digit counts.
     """
-    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "(?<=[0-9]) ?½", ",5"), "(?<=[0-9]) ?¼", ",25"), "(?<=[0-9]) ?¾", ",75")
+    halves = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "(?<=[0-9]) ?½", ",5"), "(?<=[0-9]) ?¼", ",25"), "(?<=[0-9]) ?¾", ",75")
+    plain = F.when(text.rlike("[½¼¾]"), halves).otherwise(text)
     body = F.regexp_extract(plain, f"[-−]?{_BODY}", 0)
     pointed = F.regexp_replace(body, "[.,](?=(?:[0-9]{1,2}|[0-9]{4,})\\z)", "p")
     return _canonical(F.translate(F.regexp_replace(pointed, "[^-−0-9p]", ""), "−p", "-."))

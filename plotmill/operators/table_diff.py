@@ -1,11 +1,11 @@
 """Differences between two copies of a keyed table, by hierarchical checksums over key ranges.
 
-Each side is reduced to one checksum per leaf range of keys; coarser levels are rolled up from the leaves. The search
-starts at the coarsest level and goes down only into ranges whose checksums differ. Rows are read again and compared
-field by field only in the leaves that are left, so equal ranges never move a row between executors.
+The key space is cut into a few coarse ranges and each side gets a checksum per range. Only ranges whose checksums differ
+are cut again, and only their rows are summed again, down to leaf ranges of a few keys. Rows are compared field by field
+in the leaves that are left. Sums are combined before the shuffle, so equal ranges never move a row between executors.
 
-A checksum is the sum of the rows' 64-bit hashes, in two halves of 32 bits, and their count. Sums, unlike exclusive
-ors, don't cancel when a row is there twice.
+A checksum is the sum of the rows' 64-bit hashes, in three parts, and their count. Sums, unlike exclusive ors, don't
+cancel when a row is there twice. Rows of the right side count negatively, so a range is equal where all sums are 0.
 """
 
 from __future__ import annotations
@@ -17,55 +17,45 @@ from pyspark.sql import functions as F
 
 from plotmill.runtime import materialize
 
-#: Keys per leaf range, and children per range of the next coarser level; the coarsest level has about as many ranges.
+#: Keys per leaf range, and ranges that a range is cut into; the coarsest level has as many at most.
 LEAF_KEYS = 8
-FANOUT = 64
+FANOUT = 256
 
-_HALF = (1 << 32) - 1
-_SUMS = ("lo", "hi", "n")
+#: Bits of the hash summed apart. Sums of 22 bits hold 2 ** 41 rows of a range; beyond that Spark raises an error.
+_PART = 22
 
 
-def _summed(rows: DataFrame, by: Column) -> DataFrame:
-    """Sums per range; halves are kept below 2 ** 32, so a sum of 2 ** 31 rows or ranges fits, and more raise an error."""
-    sums = rows.groupBy(by.alias("range")).agg(*[F.sum(c).alias(c) for c in _SUMS])
-    return sums.select("range", *[F.col(c).bitwiseAND(F.lit(_HALF)).alias(c) for c in ("lo", "hi")], "n")
-
-
-def _leaves(side: DataFrame, key: str, fields: list[str], leaf_keys: int) -> DataFrame:
+def _hash(key: str, fields: list[str]) -> Column:
     # a null must not hash like an absent argument, hence the flag beside each value
-    parts: list[Column] = [F.col(key)]
-    for f in fields:
-        parts += [F.col(f), F.col(f).isNull()]
-    hashed = side.where(F.col(key).isNotNull()).select(F.floor(F.col(key) / leaf_keys).cast("bigint").alias("range"), F.xxhash64(*parts).alias("h"))
-    halves = hashed.select("range", F.col("h").bitwiseAND(F.lit(_HALF)).alias("lo"), F.shiftrightunsigned("h", 32).alias("hi"), F.lit(1).cast("bigint").alias("n"))
-    return _summed(halves, F.col("range"))
+    return F.xxhash64(key, *[x for f in fields for x in (F.col(f), F.col(f).isNull())])
 
 
-def _roll_up(level: DataFrame, fanout: int) -> DataFrame:
-    return _summed(level, F.floor(F.col("range") / fanout).cast("bigint"))
+def _range(key: str, width: int) -> Column:
+    return F.floor(F.col(key) / width).cast("bigint")
 
 
-def _mismatched(left: DataFrame, right: DataFrame) -> DataFrame:
-    a, b = left.alias("a"), right.alias("b")
-    same = reduce(Column.__and__, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in _SUMS])
-    return a.join(b, F.col("a.range") == F.col("b.range"), "full_outer").where(~same).select(F.coalesce("a.range", "b.range").alias("range"))
+def _differing(both: DataFrame, key: str, width: int) -> DataFrame:
+    """The ranges of ``width`` keys whose checksums differ; ``both`` has ``key``, ``h`` and ``sign``."""
+    parts = [F.shiftrightunsigned("h", k * _PART).bitwiseAND(F.lit((1 << _PART) - 1)) for k in range(3)]
+    signed = both.select(_range(key, width).alias("range"), *[(p * F.col("sign")).alias(f"s{k}") for k, p in enumerate(parts)], "sign")
+    sums = signed.groupBy("range").agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(3)], F.sum("sign").alias("n"))
+    return sums.where("s0 <> 0 or s1 <> 0 or s2 <> 0 or n <> 0").select("range")
 
 
 def differing_ranges(left: DataFrame, right: DataFrame, key: str, fields: list[str], leaf_keys: int = LEAF_KEYS, fanout: int = FANOUT) -> list[DataFrame]:
-    """The ranges whose checksums differ, one table per level from the coarsest down to the leaves. Every level is
-    written, as the next one reads it twice; each has only the children of the ranges that differ above it."""
-    levels = [tuple(materialize(_leaves(s, key, fields, leaf_keys), "diff-leaves") for s in (left, right))]
-    low, high = levels[0][0].unionByName(levels[0][1]).agg(F.min("range"), F.max("range")).first()
-    width = 0 if low is None else high - low + 1
-    while width > fanout:
-        levels.append(tuple(materialize(_roll_up(s, fanout), "diff-level") for s in levels[-1]))
-        width = -(-width // fanout) + 1
-    bad = [materialize(_mismatched(*levels[-1]), "diff-ranges")]
-    for down in reversed(levels[:-1]):
-        parents = bad[-1].withColumnRenamed("range", "parent")
-        children = [s.join(parents, F.floor(F.col("range") / fanout).cast("bigint") == F.col("parent"), "left_semi") for s in down]
-        bad.append(materialize(_mismatched(*children), "diff-ranges"))
-    return bad
+    """The ranges whose checksums differ, one written table per level, from the coarsest down to the leaves. Keys and
+    hashes are written once, so that no level computes ``fields`` again."""
+    signed = [s.where(F.col(key).isNotNull()).select(key, _hash(key, fields).alias("h"), F.lit(sign).cast("bigint").alias("sign")) for s, sign in ((left, 1), (right, -1))]
+    hashed = materialize(signed[0].unionByName(signed[1]), "diff-hashes")
+    low, high = hashed.agg(F.min(key), F.max(key)).first()
+    widths = [leaf_keys]
+    while low is not None and high // widths[-1] - low // widths[-1] >= fanout:
+        widths.append(widths[-1] * fanout)
+    levels: list[DataFrame] = []
+    for width in reversed(widths):
+        inside = hashed.join(levels[-1], _range(key, width * fanout) == F.col("range"), "left_semi") if levels else hashed
+        levels.append(materialize(_differing(inside, key, width), "diff-ranges"))
+    return levels
 
 
 def table_diff(left: DataFrame, right: DataFrame, key: str, fields: list[str], *, left_name: str, right_name: str, leaf_keys: int = LEAF_KEYS, fanout: int = FANOUT) -> DataFrame:
@@ -82,7 +72,7 @@ def table_diff(left: DataFrame, right: DataFrame, key: str, fields: list[str], *
     bad = differing_ranges(left, right, key, fields, leaf_keys, fanout)[-1]
 
     def in_bad(side: DataFrame) -> DataFrame:
-        inside = side.join(bad, F.floor(F.col(key) / leaf_keys).cast("bigint") == F.col("range"), "left_semi")
+        inside = side.join(bad, _range(key, leaf_keys) == F.col("range"), "left_semi")
         return inside.distinct()
 
     l, r = in_bad(left).alias("l"), in_bad(right).alias("r")

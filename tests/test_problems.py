@@ -97,7 +97,7 @@ def test_table_diff_bisects_over_three_levels(spark):
     a = spark.range(4000).select(F.col("id").alias("k"), (F.col("id") % 7).cast("double").alias("x"), F.lit("u").alias("y"))
     b = a.withColumn("x", F.when(F.col("k").isin(5, 3111), -1.0).otherwise(F.col("x")))
     levels = [sorted(r.range for r in t.collect()) for t in differing_ranges(a, b, "k", ["x", "y"], fanout=4)]
-    assert len(levels) >= 4 and levels[-1] == [0, 388] and all(len(v) <= 2 for v in levels)
+    assert len(levels) == 5 and levels[-1] == [0, 388] and all(len(v) <= 2 for v in levels)
     assert all(sorted({r // 4 for r in down}) == up for up, down in zip(levels, levels[1:]))
     assert set(diff(a, b, fanout=4)) == {(5, "x"), (3111, "x")}
 
