@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plotmill.functions.exact_numbers import exact_from_double, exact_from_text
 from plotmill.operators import references as refs
 from plotmill.operators.table_diff import table_diff
-from plotmill.runtime import read_table
+from plotmill.runtime import materialize, read_table
 from plotmill.sources.delimited import line_errors, parse_tracker_lines, tracker_rows
 
 NUMBERS = ["price", "m2", "rooms"]
@@ -34,25 +36,31 @@ def p5_rows(spark: SparkSession, sf: str) -> DataFrame:
     return tracker_rows(parse_tracker_lines(read_table(spark, sf, "tracker_lines")))
 
 
-def _p6(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+def _p6(spark: SparkSession, sf: str) -> tuple[DataFrame, list[DataFrame]]:
+    """The references, and the change deltas of each table with the date of each change."""
     additions, reports, history = (read_table(spark, sf, t) for t in ("tracker_additions", "reports", "scan_history"))
     path = F.nullif(F.regexp_extract("report", "reports/.*?\\.md", 0), F.lit(""))
     url = F.when(~F.col("url").rlike("^\\s*\\z"), F.col("url"))
-    ledger = refs.fold(
-        refs.reference_deltas(additions, "tracker_additions", path, F.col("add_date")),
-        refs.existence_deltas(reports, "tracker_additions", F.col("path"), F.col("created_on"), F.col("deleted_on").isNotNull()),
-        refs.reference_deltas(reports, "reports", url, F.col("created_on")),
-        refs.existence_deltas(history, "reports", F.col("url"), F.col("first_seen")),
-    )
     rows = additions.select(F.lit("tracker_additions").alias("ref_table"), F.col("addition_id").alias("ref_id"), path.alias("key"), F.col("add_date").alias("ref_on")).unionByName(
         reports.select(F.lit("reports").alias("ref_table"), F.col("report_id").alias("ref_id"), url.alias("key"), F.col("created_on").alias("ref_on"))
     )
-    return rows, ledger
+    changes = [
+        (additions, "add_date", lambda t, keep=(): refs.reference_deltas(t, "tracker_additions", path, F.col("add_date"), keep=keep)),
+        (reports, "created_on", lambda t, keep=(): refs.existence_deltas(t, "tracker_additions", F.col("path"), F.col("created_on"), keep=keep)),
+        (reports.where("deleted_on is not null"), "deleted_on", lambda t, keep=(): refs.deletion_deltas(t, "tracker_additions", F.col("path"), F.col("created_on"), keep=keep)),
+        (reports, "created_on", lambda t, keep=(): refs.reference_deltas(t, "reports", url, F.col("created_on"), keep=keep)),
+        (history, "first_seen", lambda t, keep=(): refs.existence_deltas(t, "reports", F.col("url"), F.col("first_seen"), keep=keep)),
+    ]
+    return rows, changes
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
-    rows, ledger = _p6(spark, sf)
-    return refs.orphan_rows(rows, ledger)
+    """Orphan references of a ledger that takes the changes of the targets first and then those of the references."""
+    rows, changes = _p6(spark, sf)
+    ledger = refs.ReferenceLedger(spark)
+    for part in ([changes[1], changes[2], changes[4]], [changes[0], changes[3]]):
+        ledger.apply(reduce(DataFrame.unionByName, [deltas(t) for t, _, deltas in part]))
+    return refs.orphan_rows(rows, ledger.current())
 
 
 def p6_report(spark: SparkSession, sf: str) -> DataFrame:
@@ -60,6 +68,18 @@ def p6_report(spark: SparkSession, sf: str) -> DataFrame:
     return refs.orphan_report(p6_found(spark, sf))
 
 
+def p6_monthly(spark: SparkSession, sf: str) -> DataFrame:
+    """Orphan keys of a ledger to which the changes were applied month by month, in the order in which they happened;
+    changes without a date come first. Records and references come and records go, each in its own month."""
+    _, changes = _p6(spark, sf)
+    month = lambda on: F.coalesce(F.date_format(on, "yyyy-MM"), F.lit("0000-00"))
+    log = materialize(reduce(DataFrame.unionByName, [deltas(t.withColumn("month", month(on)), ("month",)) for t, on, deltas in changes]), "changes", "month")
+    ledger = refs.ReferenceLedger(spark)
+    for m in sorted(r.month for r in log.select("month").distinct().collect()):
+        ledger.apply(log.where(F.col("month") == m).drop("month"))
+    return refs.orphan_keys(ledger.current()).select("ref_table", "key", "refs", "ever", F.date_format("ref_since", "yyyy-MM-dd").alias("ref_since"))
+
+
 def _number_sql(col: str) -> str:
     t = f"regexp_replace(regexp_replace(regexp_replace({col}, '([0-9]) ?½', '\\1,5', 'g'), '([0-9]) ?¼', '\\1,25', 'g'), '([0-9]) ?¾', '\\1,75', 'g')"
     body = f"regexp_extract({t}, '[-−]?[0-9]+(?:[.,''’ \\x{{00a0}}\\x{{2009}}\\x{{202f}}][0-9]+)*')"
@@ -104,11 +124,18 @@ UNION ALL
 SELECT 'reports', ref_id, CASE WHEN e2.live IS NULL THEN 'missing' WHEN ref_on < since THEN 'late' END, strftime(ref_on, '%Y-%m') FROM r2 LEFT JOIN e2 USING (key) WHERE key IS NOT NULL)
 """
 
-QUERIES = {"p2_found": p2_found, "p5_found": p5_found, "p5_errors": p5_errors, "p5_rows": p5_rows, "p6_found": p6_found, "p6_report": p6_report}
+QUERIES = {"p2_found": p2_found, "p5_found": p5_found, "p5_errors": p5_errors, "p5_rows": p5_rows, "p6_found": p6_found, "p6_report": p6_report, "p6_monthly": p6_monthly}
 ORACLES = {
     "p2_found": P2_SQL,
     "p5_found": P5_SQL,
     "p5_rows": P5_ROWS_SQL,
     "p6_found": _P6_CTE + "SELECT ref_table, ref_id, reason, ref_month FROM found WHERE reason IS NOT NULL",
     "p6_report": _P6_CTE + "SELECT ref_table, ref_month, reason, count(*) AS n_refs FROM found WHERE reason IS NOT NULL GROUP BY ALL",
+    "p6_monthly": _P6_CTE
+    + """, keys AS (
+SELECT 'tracker_additions' AS ref_table, key, count(*) AS refs, coalesce(max(n), 0) AS ever, coalesce(max(live), 0) AS live, min(ref_on) AS ref_since
+FROM r1 LEFT JOIN (SELECT path AS key, count(*) AS n, count(*) FILTER (WHERE deleted_on IS NULL) AS live FROM reports GROUP BY 1) USING (key) WHERE key IS NOT NULL GROUP BY 2
+UNION ALL
+SELECT 'reports', key, count(*), coalesce(max(live), 0), coalesce(max(live), 0), min(ref_on) FROM r2 LEFT JOIN e2 USING (key) WHERE key IS NOT NULL GROUP BY 2)
+SELECT ref_table, key, refs, ever, strftime(ref_since, '%Y-%m-%d') AS ref_since FROM keys WHERE live = 0""",
 }

@@ -167,10 +167,18 @@ def test_typed_rows_and_clashing_names(spark):
     assert tracker_rows(parse_tracker_lines(lines.limit(0))).collect() == []
 
 
-def ledger_of(spark, referring, existing, deleted=None):
-    r = spark.createDataFrame(referring, "id bigint, key string, on date")
-    e = spark.createDataFrame(existing, "key string, since date, deleted date")
-    return r, refs.fold(refs.reference_deltas(r, "t", F.col("key"), F.col("on")), refs.existence_deltas(e, "t", F.col("key"), F.col("since"), F.col("deleted").isNotNull()))
+def frames_of(spark, referring, existing):
+    return spark.createDataFrame(referring, "id bigint, key string, on date"), spark.createDataFrame(existing, "key string, since date, deleted date")
+
+
+def deltas_of(r, e, sign=1):
+    key = F.col("key")
+    return [refs.reference_deltas(r, "t", key, F.col("on"), sign), refs.existence_deltas(e, "t", key, F.col("since"), sign), refs.deletion_deltas(e.where("deleted is not null"), "t", key, F.col("since"), sign)]
+
+
+def ledger_of(spark, referring, existing):
+    r, e = frames_of(spark, referring, existing)
+    return r, refs.fold(*deltas_of(r, e))
 
 
 def test_orphans(spark):
@@ -187,12 +195,45 @@ def test_orphans(spark):
 
 def test_ledger_is_incremental(spark):
     r1, first = ledger_of(spark, [(1, "a", D(2026, 1, 1))], [("b", D(2026, 1, 1), None)])
-    more = spark.createDataFrame([("a", D(2026, 1, 1), None)], "key string, since date, deleted date")
-    both = refs.fold(first, refs.existence_deltas(more, "t", F.col("key"), F.col("since"), F.col("deleted").isNotNull()))
+    more = spark.createDataFrame([("a", D(2026, 1, 1))], "key string, since date")
+    both = refs.fold(first, refs.existence_deltas(more, "t", F.col("key"), F.col("since")))
     assert refs.suspects(first).count() == 1
     assert refs.suspects(both).count() == 0
-    gone = refs.fold(both, refs.reference_deltas(r1, "t", F.col("key"), F.col("on"), sign=-1))
-    assert {x.key: x.refs for x in gone.collect()}["a"] == 0
+    # a live record that is deleted later makes its reference an orphan
+    deleted = refs.fold(both, refs.deletion_deltas(more, "t", F.col("key"), F.col("since")))
+    (orphan,) = refs.orphan_keys(deleted).collect()
+    assert (orphan.key, orphan.refs, orphan.live, orphan.ever) == ("a", 1, 0, 1)
+    gone = refs.fold(deleted, refs.reference_deltas(r1, "t", F.col("key"), F.col("on"), sign=-1))
+    assert refs.orphan_keys(gone).count() == 0
+
+
+def test_dates_are_withdrawn(spark):
+    """The record from January goes, the one from March stays: a reference from February is late then."""
+    r, e = frames_of(spark, [(1, "a", D(2026, 2, 1))], [("a", D(2026, 1, 1), None), ("a", D(2026, 3, 1), None)])
+    both = refs.fold(*deltas_of(r, e))
+    assert refs.suspects(both).count() == 0
+    withdrawn = refs.fold(both, refs.existence_deltas(e.where("since < '2026-02-01'"), "t", F.col("key"), F.col("since"), sign=-1))
+    assert [(x.key, x.since) for x in refs.suspects(withdrawn).collect()] == [("a", D(2026, 3, 1))]
+
+
+def test_kept_ledger_equals_the_rebuilt_one(spark, tmp_path):
+    """Batches that come and go in any order, with compaction in between, opened anew for each batch."""
+    rng = random.Random(5)
+    day = lambda: rng.choice([None, D(2026, rng.randint(1, 6), 1)])
+    path, everything, applied = f"file://{tmp_path}/ledger", [], []
+    keep, refs.ReferenceLedger.COMPACT_AFTER = refs.ReferenceLedger.COMPACT_AFTER, 3
+    try:
+        for k in range(6):
+            r, e = frames_of(spark, [(n, rng.choice(["a", "b", "c", None]), day()) for n in range(6)], [(rng.choice("abc"), day(), rng.choice([None, D(2026, 7, 1)])) for _ in range(3)])
+            batch = deltas_of(r, e) + ([] if k % 3 else [refs.fold(*applied[-1]).select("ref_table", "key", "on", *[(-F.col(c)).alias(c) for c in ("refs", "live", "ever")])] if applied else [])
+            ledger = refs.ReferenceLedger(spark, path)
+            ledger.apply(refs.fold(*batch))
+            applied.append(batch)
+            everything += batch
+            assert rows(ledger.current()) == rows(refs.fold(*everything))
+    finally:
+        refs.ReferenceLedger.COMPACT_AFTER = keep
+    assert refs.ReferenceLedger(spark).current().count() == 0
 
 
 def test_hot_key(spark):
