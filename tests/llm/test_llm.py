@@ -290,6 +290,24 @@ def test_tokens_of_whole_texts(spark):
     assert n[1] == 2 and n[2] > 1 and n[3] == n[4] == 0 and n[5] >= 50_000
 
 
+def test_long_texts_count_as_the_tokenizer_does(spark):
+    """Beyond any piece length, and for stretches on which the tokenizer's splitting gives up."""
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    from plotmill.llm.mixing import TOKENIZER
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(TOKENIZER).read_bytes().splitlines())}
+    enc = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(["wohnung ", "größe", "  ", "\n", "1234567", "!?", "Zimmerküche"]) for _ in range(60_000)) for _ in range(3)]
+    d = spark.createDataFrame([*enumerate(texts), (9, " " * 2_000_000 + "x")], "id int, text string")
+    n = {r.id: r.tokens for r in count_tokens(d, ["id"]).collect()}
+    assert all(len(t) > 250_000 and n[k] == len(enc.encode_ordinary(t)) for k, t in enumerate(texts)) and n[9] > 1
+
+
 # p9 ---------------------------------------------------------------------------------------------------------------
 
 CLEAN = [
