@@ -4,6 +4,9 @@ Addresses are parsed into street, house number, letter and locality; number and
 misspelt), and the locality is resolved to towns through the gazetteer, whose size is checked. Equal addresses are
 reduced to one entry. The entries with the same town, number and letter are sorted several times, by different orders
 of the street's components, and each entry is compared with its neighbours by a transposition-tolerant edit distance.
+A sorted block is cut into segments that overlap by the window, so its comparisons are spread over tasks; what a block
+does in one task is to sort and to join the links found. In blocks larger than the window, where neighbours may be
+missed, a further pass compares all streets that become equal by dropping one letter, which finds every link of one edit.
 """
 
 from __future__ import annotations
@@ -13,15 +16,19 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plotmill.runtime import materialize, shuffle_partitions
 
-#: Entries that an entry is compared with in each sort order, on either side.
-WINDOW = 24
-#: Distinct addresses that one Python task holds.
+#: Entries that an entry is compared with in each sort order, on either side; blocks up to this size are compared fully.
+WINDOW = 64
+#: Entries of a sorted block per segment.
+SEGMENT = 512
+#: Entries that one Python task compares.
 ENTRIES_PER_TASK = 20_000
+#: Names of so many letters may differ by two edits.
+LONG_NAME = 8
 #: The gazetteer goes to every executor; a larger one is refused.
 GAZETTEER_ROWS = 200_000
 
@@ -83,6 +90,29 @@ def distance(a: str, b: str, limit: int) -> int:
     return d if d <= 1 else min(d, osa(spelt_out(a), spelt_out(b), limit))
 
 
+def letter_set(name: str) -> int:
+    """The letters of a name as bits. One edit changes two of them at most, so names whose sets differ by more than twice
+    the limit needn't be compared."""
+    bits = 0
+    for c in set(name):
+        bits |= 1 << (ord(c) & 63)
+    return bits
+
+
+class Name:
+    """A folded name with what comparing it needs."""
+
+    def __init__(self, folded: str) -> None:
+        self.folded, self.spelt = folded, spelt_out(folded)
+        self.bits, self.spelt_bits = letter_set(self.folded), letter_set(self.spelt)
+
+    def near(self, other: Name, limit: int) -> int:
+        """``distance``, or more than ``limit``."""
+        if (self.bits ^ other.bits).bit_count() > 2 * limit and (self.spelt_bits ^ other.spelt_bits).bit_count() > 2 * limit:
+            return limit + 1
+        return distance(self.folded, other.folded, limit)
+
+
 class Gazetteer:
     """Towns by full name, short name, hood and postcode, for resolving a locality text."""
 
@@ -99,7 +129,7 @@ class Gazetteer:
                 self.names.setdefault(letters(fold(hood)), set()).add(t)
             if plz:
                 self.plz.setdefault(plz.strip(), set()).add(t)
-        self.long = {n for n, towns in self.names.items() if len(towns) == 1}
+        self.near = [Name(n) for n in self.names]
         self.cache: dict[tuple[str, str], tuple[str, ...]] = {}
 
     @staticmethod
@@ -146,7 +176,8 @@ class Gazetteer:
         for w in parts:
             if len(w) >= 4 and w not in self.names:
                 limit = 2 if len(w) >= 9 else 1
-                near = {n: d for n in self.names if (d := distance(w, n, limit)) <= limit}
+                own = Name(w)
+                near = {n.folded: d for n in self.near if (d := own.near(n, limit)) <= limit}
                 towns |= set().union(*(self.names[n] for n, d in near.items() if d == min(near.values())))
         return towns
 
@@ -219,53 +250,137 @@ def parsed_addresses(rows: DataFrame, gazetteer: DataFrame, row_id: str, locatio
     return picked.mapInPandas(run, "row_id bigint, street string, number string, towns array<string>")
 
 
-def _comparable(a: tuple[str, str, str], b: tuple[str, str, str], limit: int) -> bool:
-    """Forms must be equal where both streets have a recognised one; else the whole names are compared."""
-    fa, sa, ka = a
-    fb, sb, kb = b
-    if fa == fb and ka == kb:
-        return distance(sa, sb, limit) <= limit
-    if (fa and fb and fa != fb) or (ka and kb and ka != kb):
-        return False
-    return distance(fa + sa + ka, fb + sb + kb, limit) <= limit
+class Street:
+    """Form, name and kind of a street, as ``parse`` gives them."""
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+        self.form, self.stem, self.kind = text.split("|")
+        self.name, self.whole = Name(self.stem), Name(self.form + self.stem + self.kind)
+
+    def same(self, other: Street) -> bool:
+        """Whether two spellings link. Forms must be equal where both streets have a recognised one; else the whole names
+        are compared. One edit links, two edits link long names, but not a name and its form in ``-er``."""
+        a, b = (self.name, other.name) if self.form == other.form and self.kind == other.kind else (self.whole, other.whole)
+        if a is self.whole and (self.form and other.form and self.form != other.form or self.kind and other.kind and self.kind != other.kind):
+            return False
+        short, long = sorted((a.folded, b.folded), key=len)
+        limit = 2 if len(short) >= LONG_NAME and long != short + "er" else 1
+        return a.near(b, limit) <= limit
+
+
+def spelling_keys(whole: str) -> set[str]:
+    """The name and what is left when one of its letters is dropped, umlauts taken as one letter or as two. Names at most
+    one edit apart, a transposition included, have one of these in common."""
+    drop = lambda name: {name, *(name[:k] + name[k + 1 :] for k in range(len(name)))}
+    return drop(whole) | drop(spelt_out(whole))
+
+
+class Classes:
+    """Union-find over strings."""
+
+    def __init__(self) -> None:
+        self.parent: dict[str, str] = {}
+
+    def root(self, x: str) -> str:
+        parent = self.parent
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    def join(self, a: str, b: str) -> bool:
+        """Whether they were apart."""
+        a, b = self.root(a), self.root(b)
+        self.parent[a] = b
+        return a != b
 
 
-def _orders(street: str) -> tuple[str, ...]:
+def neighbour_links(streets: list[str], own: list[bool], window: int) -> list[tuple[str, str]]:
+    """Links that join the streets of one sorted segment, a forest; entries that aren't ``own`` follow and only end windows."""
+    classes, links, parsed = Classes(), [], [Street(s) for s in streets]
+    for i, a in enumerate(parsed):
+        if not own[i]:
+            break
+        for b in parsed[i + 1 : i + 1 + window]:
+            if classes.root(a.text) != classes.root(b.text) and a.same(b):
+                classes.join(a.text, b.text)
+                links.append((a.text, b.text))
+    return links
+
+
+def _orders() -> list[Column]:
     """Sort keys: form first, name first, name from its end, and name without vowels and doubled letters."""
-    form, stem, kind = street.split("|")
-    bare = re.sub(r"(.)\1+", r"\1", re.sub(r"[aeiouyäöü]", "", stem))
-    return f"{form} {kind} {stem}", f"{stem} {form} {kind}", f"{kind[::-1]}{stem[::-1]} {form}", f"{bare} {form} {kind} {stem}"
+    form, stem, kind = (F.split_part("street", F.lit("|"), F.lit(k)) for k in (1, 2, 3))
+    bare = F.regexp_replace(F.regexp_replace(stem, "[aeiouyäöü]", ""), "(.)\\1+", "$1")
+    blank = F.lit(" ")
+    return [F.concat(form, blank, kind, blank, stem), F.concat(stem, blank, form, blank, kind), F.concat(F.reverse(kind), F.reverse(stem), blank, form), F.concat(bare, blank, form, blank, kind, blank, stem)]
+
+
+_BLOCK = ["town", "number"]
+
+
+def street_links(entries: DataFrame, parts: int, window: int = WINDOW) -> DataFrame:
+    """``town, number, a, b``: links between the streets of a block. ``entries`` has distinct ``town, number, street``."""
+    keys = _orders()
+    sized = entries.select(*_BLOCK, "street", F.count(F.lit(1)).over(Window.partitionBy(*_BLOCK)).alias("size")).where("size > 1")
+    large = F.col("size") > window + 1
+    ranked = sized.select("*", *[(F.row_number().over(Window.partitionBy(*_BLOCK).orderBy(k, "street")) - 1).alias(f"p{n}") for n, k in enumerate(keys)])
+    # in a block within the window the first order sees every pair
+    passes = F.explode(F.when(large, F.array(*[F.struct(F.lit(n).alias("pass"), F.col(f"p{n}").alias("at")) for n in range(len(keys))])).otherwise(F.array(F.struct(F.lit(0).alias("pass"), F.col("p0").alias("at")))))
+    placed = ranked.select(*_BLOCK, "street", passes.alias("z")).select(*_BLOCK, "street", "z.*")
+    home = F.floor(F.col("at") / SEGMENT).cast("int")
+    twice = (home > 0) & (F.col("at") % SEGMENT < window)
+    segments = placed.select(*_BLOCK, "street", "pass", "at", F.explode(F.when(twice, F.array(home, home - 1)).otherwise(F.array(home))).alias("segment"), home.alias("home"))
+    bucketed = segments.withColumn("bucket", F.pmod(F.xxhash64(*_BLOCK, "pass", "segment"), F.lit(8 * parts))).repartition(parts, "bucket")
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for (town, number, _, segment), part in pdf.sort_values("at").groupby(["town", "number", "pass", "segment"], sort=False):
+            if len(part) > 1:
+                out += [(town, number, a, b) for a, b in neighbour_links(part["street"].tolist(), (part["home"] == segment).tolist(), window)]
+        return pd.DataFrame(out, columns=["town", "number", "a", "b"])
+
+    def spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = [(t, n, s, k) for t, n, s in zip(pdf["town"], pdf["number"], pdf["street"], strict=True) for k in spelling_keys(s.replace("|", ""))]
+            yield pd.DataFrame(out, columns=["town", "number", "street", "key"])
 
+    def check(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for (town, number, _), part in pdf.groupby(["town", "number", "key"], sort=False):
+            if len(part) > 1:
+                streets = part["street"].tolist()
+                out += [(town, number, a, b) for a, b in neighbour_links(streets, [True] * len(streets), len(streets))]
+        return pd.DataFrame(out, columns=["town", "number", "a", "b"])
 
-def same_streets(streets: list[str], rows: list[int], rare: list[bool], window: int = WINDOW) -> list[str]:
-    """For each distinct street of one block, the name of its class: the one with the most rows.
+    links = "town string, number string, a string, b string"
+    by_order = bucketed.groupBy("bucket").applyInPandas(compare, links)
+    spelt = sized.where(large).select(*_BLOCK, "street").mapInPandas(spell, "town string, number string, street string, key string")
+    shared = spelt.withColumn("bucket", F.pmod(F.xxhash64(*_BLOCK, "key"), F.lit(8 * parts))).repartition(parts, "bucket")
+    return by_order.unionByName(shared.groupBy("bucket").applyInPandas(check, links)).distinct()
 
-    One edit links two streets; two edits link them only if both are rare (two misspellings of one name).
-    """
-    parent = list(range(len(streets)))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    parts = [tuple(s.split("|")) for s in streets]
-    keys = [_orders(s) for s in streets]
-    for k in range(len(keys[0]) if keys else 0):
-        order = sorted(range(len(streets)), key=lambda i: (keys[i][k], streets[i]))
-        for x, i in enumerate(order):
-            for j in order[x + 1 : x + 1 + window]:
-                if root(i) != root(j) and _comparable(parts[i], parts[j], 2 if rare[i] and rare[j] else 1):
-                    parent[root(i)] = root(j)
-        if len(streets) <= window + 1:
-            break  # the first order's window held every pair
-    best: dict[int, int] = {}
-    for i in range(len(streets)):
-        r = root(i)
-        if r not in best or (-rows[i], streets[i]) < (-rows[best[r]], streets[best[r]]):
-            best[r] = i
-    return [streets[best[root(i)]] for i in range(len(streets))]
+
+def named_streets(entries: DataFrame, parts: int, window: int = WINDOW) -> DataFrame:
+    """``town, number, street, sure, name``: for each street of a block the name of its class, the one with most rows."""
+    both = entries.select(*_BLOCK, F.col("street").alias("a"), F.lit(None).cast("string").alias("b"), "sure", "g").unionByName(street_links(entries, parts, window), allowMissingColumns=True)
+    bucketed = both.withColumn("bucket", F.pmod(F.xxhash64(*_BLOCK), F.lit(8 * parts))).repartition(parts, "bucket")
+
+    def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
+        links = pdf["b"].notna()
+        streets, classes = pdf[~links], Classes()
+        key = lambda t, n, s: f"{t}\0{n}\0{s}"
+        for t, n, a, b in pdf.loc[links, ["town", "number", "a", "b"]].itertuples(index=False):
+            classes.join(key(t, n, a), key(t, n, b))
+        rows = list(streets[["town", "number", "a", "sure", "g"]].itertuples(index=False, name=None))
+        best: dict[str, tuple] = {}
+        for t, n, s, sure, g in rows:
+            r, rank = classes.root(key(t, n, s)), (-sure, -g, s)
+            best[r] = min(best.get(r, rank), rank)
+        return pd.DataFrame([(t, n, s, sure, best[classes.root(key(t, n, s))][2]) for t, n, s, sure, _ in rows], columns=["town", "number", "street", "sure", "name"]).astype({"sure": "int64"})
+
+    return bucketed.groupBy("bucket").applyInPandas(cluster, "town string, number string, street string, sure bigint, name string")
 
 
 def buildings(rows: DataFrame, gazetteer: DataFrame, row_id: str = "addition_id", location: str = "location") -> DataFrame:
@@ -278,32 +393,13 @@ def buildings(rows: DataFrame, gazetteer: DataFrame, row_id: str = "addition_id"
     spark = rows.sparkSession
     parsed = materialize(parsed_addresses(rows, gazetteer, row_id, location), "addresses")
     town = F.explode("towns").alias("town")
-    entries = parsed.select(town, "number", "street", (F.size("towns") == 1).cast("int").alias("sure")).groupBy("town", "number", "street").agg(F.sum("sure").alias("sure"), F.count(F.lit(1)).alias("n"))
+    entries = parsed.select(town, "number", "street", (F.size("towns") == 1).cast("int").alias("sure")).groupBy("town", "number", "street").agg(F.sum("sure").alias("sure"))
     common = parsed.groupBy("street").agg(F.count(F.lit(1)).alias("g"))
     entries = materialize(entries.join(common, "street"), "address-entries")
-    total, usual = entries.agg(F.count(F.lit(1)), F.percentile("g", F.lit(0.5), F.col("n"))).first()
-    parts = max(shuffle_partitions(spark), total // ENTRIES_PER_TASK + 1)
-
-    def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["town", "number"], kind="stable", ignore_index=True)
-        keys = list(zip(pdf["town"], pdf["number"], strict=True))
-        streets, counts, sure = pdf["street"].tolist(), pdf["g"].tolist(), pdf["sure"].tolist()
-        names, begin = [], 0
-        for end in range(1, len(keys) + 1):
-            if end < len(keys) and keys[end] == keys[begin]:
-                continue
-            if end - begin == 1:
-                names.append(streets[begin])
-            else:
-                part = range(begin, end)
-                names += same_streets([streets[i] for i in part], [sure[i] * 1_000_000 + counts[i] for i in part], [counts[i] == 1 or counts[i] * 8 < usual for i in part])
-            begin = end
-        return pdf[["town", "number", "street", "sure"]].assign(name=names)
-
     # a fixed number of partitions, as adaptive execution judges by bytes, not by the work in Python; several buckets
     # each, as hashing few buckets would leave partitions empty
-    bucketed = entries.withColumn("bucket", F.pmod(F.xxhash64("town", "number"), F.lit(8 * parts))).repartition(parts, "bucket")
-    named = materialize(bucketed.groupBy("bucket").applyInPandas(cluster, "town string, number string, street string, sure bigint, name string"), "address-names")
+    parts = max(shuffle_partitions(spark), entries.count() // ENTRIES_PER_TASK + 1)
+    named = materialize(named_streets(entries, parts), "address-names")
     house = named.groupBy("town", "number", "name").agg(F.sum("sure").alias("house_rows"))
     road = named.groupBy("town", "name").agg(F.sum("sure").alias("road_rows"))
     # names of ambiguous entries only need the counts; certain ones keep their single town
@@ -316,6 +412,13 @@ def buildings(rows: DataFrame, gazetteer: DataFrame, row_id: str = "addition_id"
     return sure_rows.unionByName(picked.select("row_id", F.concat_ws("|", "b.town", "b.name", "b.number").alias("building")))
 
 
+def building_classes(rows: DataFrame, gazetteer: DataFrame, row_id: str = "addition_id", location: str = "location") -> DataFrame:
+    """One row per row with a house number: ``row_id``, the smallest id at its building, and how many rows are there."""
+    placed = materialize(buildings(rows, gazetteer, row_id, location), "buildings")
+    sizes = placed.groupBy("building").agg(F.min("row_id").alias("building_id"), F.count(F.lit(1)).alias("n_rows"))
+    return placed.join(sizes, "building").select(F.col("row_id").alias(row_id), "building_id", "n_rows")
+
+
 def same_building_pairs(rows: DataFrame, gazetteer: DataFrame, row_id: str = "addition_id", location: str = "location") -> DataFrame:
     """All pairs of rows at one building, the smaller id first. Every pair is wanted, so the output bounds the work."""
     placed = materialize(buildings(rows, gazetteer, row_id, location), "buildings")
