@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plotmill.llm.addresses import buildings, same_building_pairs
+from plotmill.llm.addresses import building_classes, buildings, same_building_pairs
 from plotmill.llm.leaks import leaked_items
 from plotmill.llm.mixing import mix
 from plotmill.llm.mojibake import garbled_documents, restored_documents
 from plotmill.llm.token_index import ADVERT_PATTERNS, advert_tokens, known_rows
-from plotmill.llm.vantage import similar_records
-from plotmill.runtime import read_table
+from plotmill.llm.vantage import record_links, similar_records
+from plotmill.runtime import materialize, read_table
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -39,12 +39,25 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return same_building_pairs(read_table(spark, sf, "tracker_additions"), read_table(spark, sf, "gazetteer"))
 
 
-def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    """Pairs of tracker rows that record the same flat with small changes."""
+def p3_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """Tracker rows with their building, by its smallest ``addition_id``, and the number of rows there."""
+    return building_classes(read_table(spark, sf, "tracker_additions"), read_table(spark, sf, "gazetteer"))
+
+
+def _flats(spark: SparkSession, sf: str) -> DataFrame:
     additions = read_table(spark, sf, "tracker_additions")
     placed = buildings(additions, read_table(spark, sf, "gazetteer")).withColumnRenamed("building", "grp")
-    flats = additions.select(additions.addition_id.alias("row_id"), "price", "m2", "rooms").join(placed, "row_id")
-    return similar_records(flats).toDF("addition_id_a", "addition_id_b")
+    return materialize(additions.select(additions.addition_id.alias("row_id"), "price", "m2", "rooms").join(placed, "row_id"), "flats")
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of tracker rows that record the same flat with small changes."""
+    return similar_records(_flats(spark, sf)).toDF("addition_id_a", "addition_id_b")
+
+
+def p4_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """Tracker rows with the class of their exact copies and the number of rows that record the same flat."""
+    return record_links(_flats(spark, sf)).withColumnRenamed("row_id", "addition_id")
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -72,7 +85,7 @@ def p9_restored(spark: SparkSession, sf: str) -> DataFrame:
     return restored_documents(read_table(spark, sf, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p7_found": p7_found, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_restored": p9_restored}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_classes": p3_classes, "p4_found": p4_found, "p4_classes": p4_classes, "p7_found": p7_found, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_restored": p9_restored}
 P7_SQL = """
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(nfc_normalize(text)), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
 i AS (SELECT item_id, regexp_extract_all(lower(nfc_normalize(text)), '[\\p{L}\\p{N}]+') AS w FROM eval_items WHERE text IS NOT NULL),

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import plotmill.llm.queries as q
-from plotmill.llm import leaks, mojibake, vantage
+from plotmill.llm import addresses, leaks, mojibake, vantage
 from plotmill.llm.addresses import Gazetteer, buildings, osa, parse, same_building_pairs
 from plotmill.llm.leaks import leaked_items
 from plotmill.llm.mixing import count_tokens, mix
@@ -125,6 +125,39 @@ def test_buildings(spark):
     assert buildings(df, g.limit(0)).count() == 8
 
 
+def test_large_blocks_lose_no_link(spark, monkeypatch):
+    """Far more spellings than a window, in segments: the classes are those of all pairs."""
+    monkeypatch.setattr(addresses, "SEGMENT", 32)
+    rng = random.Random(9)
+    names = {"".join(rng.choice("abdeghiklmnorstu") for _ in range(7)) for _ in range(40)}
+    for name in list(names):
+        for _ in range(15):
+            k = rng.randrange(7)
+            names.add(rng.choice([name[:k] + rng.choice("xyzäü") + name[k + 1 :], name[:k] + name[k + 1 :], name[:k] + "x" + name[k:], name[:k] + name[k : k + 2][::-1] + name[k + 2 :]]))
+    streets = sorted(f"|{n}|weg" for n in names)
+    parsed, brute = [addresses.Street(s) for s in streets], addresses.Classes()
+    for k, a in enumerate(parsed):
+        for b in parsed[:k]:
+            if a.same(b):
+                brute.join(a.text, b.text)
+    entries = spark.createDataFrame([("town", "7", s, 1, 1) for s in streets], "town string, number string, street string, sure bigint, g bigint")
+    found = addresses.Classes()
+    for r in addresses.street_links(entries, 4, window=4).collect():
+        found.join(r.a, r.b)
+    by = lambda c: {frozenset(s for s in streets if c.root(s) == r) for r in {c.root(s) for s in streets}}
+    assert len(streets) > 400 and by(found) == by(brute)
+    named = {r.street: r.name for r in addresses.named_streets(entries, 4, window=4).collect()}
+    assert all((named[a] == named[b]) == (brute.root(a) == brute.root(b)) for a in streets[:50] for b in streets)
+
+
+def test_two_edits_depend_on_the_names_alone():
+    same = lambda a, b: addresses.Street(a).same(addresses.Street(b))
+    assert same("|hadenkletaler|chaussee", "|hadeenkeltaler|chaussee")
+    assert not same("|drosdenberg|strasse", "|drosdenberger|strasse")
+    assert not same("|ulmen|weg", "|ulxxn|weg") and same("|ulmen|weg", "|ulemn|weg")
+    assert not same("am|ulmenhof|", "zum|ulmenhof|")
+
+
 def test_tree_finds_all_pairs():
     rng = random.Random(3)
     for n in (0, 1, 2, 13, 60, 400):
@@ -159,7 +192,9 @@ def test_similar_records_against_brute_force(spark):
                 want.add((a[0], b[0]))
     got = [tuple(r) for r in vantage.similar_records(df).collect()]
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
-    assert vantage.similar_records(df.limit(0)).count() == 0
+    links = {r.row_id: r.n_links for r in vantage.record_links(df).collect()}
+    assert links == {r[0]: sum(r[0] in p for p in want) for r in rows if r[1] is not None}
+    assert vantage.similar_records(df.limit(0)).count() == vantage.record_links(df.limit(0)).count() == 0
 
 
 def test_price_bound_is_exact(spark):
