@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import plotmill.llm.queries as q
-from plotmill.llm import addresses, leaks, mojibake, vantage
+from plotmill.llm import addresses, leaks, mojibake, token_index, vantage
 from plotmill.llm.addresses import Gazetteer, buildings, osa, parse, same_building_pairs
 from plotmill.llm.leaks import leaked_items
 from plotmill.llm.mixing import count_tokens, mix
@@ -72,9 +72,10 @@ def test_index_finds_similar_sets(spark):
     index = TokenIndex.build(frame(base, 0), threshold=0.6)
     known = [set(t) for t in base]
     alike = lambda a, b: len(a & b) / len(a | b) >= 0.6 - 1e-12
+    both = frame(batch1, 1000).withColumn("batch_no", F.lit(1000)).unionByName(frame(batch2, 2000).withColumn("batch_no", F.lit(2000)))
+    index.accept(index.stage(both))
     for at, batch in ((1000, batch1), (2000, batch2)):
-        index.accept(index.stage(frame(batch, at).withColumn("batch_no", F.lit(at))))
-        got = {r.entry_id for r in index.accepted().collect() if r.entry_id >= at}
+        got = {r.entry_id for r in index.accepted().collect() if at <= r.entry_id < at + 1000}
         first = {}
         for k, t in enumerate(batch):
             first.setdefault(tuple(t), at + k)
@@ -83,6 +84,26 @@ def test_index_finds_similar_sets(spark):
         known += [set(t) for t, e in first.items() if e in want]
 
 
+def test_kept_index_is_opened_again(spark, tmp_path, monkeypatch):
+    """Batches of later runs probe what earlier runs accepted, before and after compaction, with and without naming the
+    tokens to the scan; no table stays in the catalogue."""
+    monkeypatch.setattr(token_index, "COMPACT_AFTER", 2)
+    path, before = f"file://{tmp_path}/index", {t.name for t in spark.catalog.listTables()}
+    rows = lambda codes, at: spark.createDataFrame([(at + k, at, ["site:x", f"code:{c}"], None) for k, c in enumerate(codes)], "entry_id bigint, batch_no int, tokens array<string>, since date")
+    known = set(range(0, 200, 2))
+    token_index.TokenIndex.build(rows(sorted(known), 0), path=path).close()
+    for run, codes in enumerate([range(0, 150), [1, 2, 3, 300, 301, 300], range(290, 305), [7, 500], [500, 501]]):
+        index = token_index.TokenIndex.open(spark, path)
+        got = {r.entry_id for r in token_index.new_rows_left_out(index, rows(codes, 1000 * (run + 1))).collect()}
+        want = set()
+        for k, c in enumerate(codes):
+            if c in known:
+                want.add(1000 * (run + 1) + k)
+            known.add(c)
+        assert got == want
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
 # p3, p4 -----------------------------------------------------------------------------------------------------------
 
 PLACES = [("62137", "Waldau I", "Kalmbrück an der Selde"), ("62149", "Waldau II", "Kalmbrück an der Selde"), ("43281", "Moorgrund", "Altenried am Moor"), ("62240", "Töpferhof", "Altenried an der Selde"), ("43820", "Hagenmitte", "Oderhagen")]
