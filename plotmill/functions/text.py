@@ -141,6 +141,10 @@ def resolve_template(template: Column, values: dict[str, Column]) -> Column:
     return F.struct(url.alias("url"), F.regexp_extract_all(url, F.lit("\\{(\\w+)\\}"), F.lit(1)).alias("unresolved"))
 
 
+#: What messages of failed page loads show.
+BOT_DEFENSE, TRANSIENT = "403|forbidden|net::ERR|blocked|ERR_HTTP2|access denied", "timeout|timed out|navigation"
+
+
 def error_class(message: Column) -> Column:
-    """First class that a failure message shows."""
-    return F.when(message.rlike("(?i)captcha|blocked|denied|403|429"), "bot_defense").when(message.rlike("(?i)timeout|timed out|net::|ECONN|reset"), "transient").otherwise("error")
+    """First class that a failure message shows, whatever the case; ``error`` for any other, null included."""
+    return F.when(message.rlike(f"(?i){BOT_DEFENSE}"), "bot_defense").when(message.rlike(f"(?i){TRANSIENT}"), "transient").otherwise("error")

@@ -35,14 +35,6 @@ def json_verbose(spark: SparkSession, sf: str) -> DataFrame:
 CAPTURE_SQL = "SELECT batch_no, entry_id % 40 + 1 AS page_no, url, nullif(price, 0) AS price, nullif(m2, 0) AS m2, nullif(rooms, 0) AS rooms, nullif(trim(title), '') AS title, nullif(trim(location), '') AS location FROM scan_inbox"
 
 
-def page_states(spark: SparkSession, sf: str) -> DataFrame:
-    """Cards per page and the state of each page."""
-    return captures.page_state(_pages(spark, sf, True), ["batch_no"], "page_no").groupBy("state", "more").agg(F.count(F.lit(1)).alias("pages"), F.sum("cards").alias("cards"))
-
-
-STATES_SQL = "SELECT 'ok' AS state, true AS more, count(*) AS pages, CAST(sum(n) AS bigint) AS cards FROM (SELECT count(*) AS n FROM scan_inbox GROUP BY batch_no, entry_id % 40)"
-
-
 def markdown_table(spark: SparkSession, sf: str) -> DataFrame:
     """Tracker rows through a Markdown table."""
     a = read_table(spark, sf, "tracker_additions")
@@ -57,18 +49,6 @@ nullif(trim(translate(coalesce(notes, ''), '|' || chr(10), '/ ')), '-') AS notes
 
 
 def queue_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """History rows whose titles name no rooms through queue lines, whose optional fields are told by their shape; for
-    all rows see ``queue_lines_all``."""
-    h = read_table(spark, sf, "scan_history").where("title <> '' and not title rlike '(?i)[0-9][ -]*(zi|raum|räum)'")
-    line = markdown.queue_line(F.col("url"), F.col("portal"), F.lit("g"), F.col("title"), F.col("price"), F.col("m2"), F.col("rooms"), F.col("location"))
-    return markdown.queue_rows(h.select("entry_id", line.alias("line")), ["entry_id"]).select("entry_id", "url", "source", "title", F.round("m2", 2).alias("m2"), "rooms", "location")
-
-
-QUEUE_SQL = """SELECT entry_id, regexp_extract(url, 'https?://[^\\s|]+') AS url, portal AS source, trim(regexp_replace(replace(title, '|', '/'), '\\s+', ' ', 'g')) AS title, coalesce(m2, 0) AS m2, coalesce(rooms, 0) AS rooms, lower(trim(regexp_replace(replace(coalesce(location, ''), '|', '/'), '\\s+', ' ', 'g'))) AS location
-FROM scan_history WHERE title <> '' AND NOT regexp_matches(title, '(?i)[0-9][ -]*(zi|raum|räum)')"""
-
-
-def queue_lines_all(spark: SparkSession, sf: str) -> DataFrame:
     """All history rows through queue lines, titles as they are: rooms missing in the line come from the title."""
     h = read_table(spark, sf, "scan_history")
     line = markdown.queue_line(F.col("url"), F.col("portal"), F.lit("g"), F.col("title"), F.col("price"), F.col("m2"), F.col("rooms"), F.col("location"))
@@ -76,7 +56,7 @@ def queue_lines_all(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # the reader ignores case for ASCII letters only
-QUEUE_ALL_SQL = """WITH h AS (SELECT entry_id, url, portal, m2, rooms, location, trim(regexp_replace(replace(coalesce(title, ''), '|', '/'), '\\s+', ' ', 'g')) AS title FROM scan_history WHERE url IS NOT NULL),
+QUEUE_SQL = """WITH h AS (SELECT entry_id, url, portal, m2, rooms, location, trim(regexp_replace(replace(coalesce(title, ''), '|', '/'), '\\s+', ' ', 'g')) AS title FROM scan_history WHERE url IS NOT NULL),
 t AS (SELECT *, regexp_extract(title, '([0-9]+(?:[.,][0-9]+)?)[\\s-]*(?:[Zz][Ii]|[Rr][Aa][Uu][Mm]|[Rr]ä[Uu][Mm][Ee])', 1) AS said FROM h)
 SELECT entry_id, regexp_extract(url, 'https?://[^\\s|]+') AS url, coalesce(portal, '') AS source, title, coalesce(m2, 0) AS m2,
 CASE WHEN rooms > 0 THEN rooms ELSE coalesce(try_cast(replace(regexp_replace(said, '^([0-9]+)[.]([0-9]{3})$', '\\1\\2'), ',', '.') AS double), 0) END AS rooms,
@@ -133,5 +113,5 @@ def html_cards(spark: SparkSession, sf: str) -> DataFrame:
 HTML_SQL = """SELECT CAST(batch_no * 100 + entry_id % 40 + 1 AS bigint) AS page_id, 'https://p.example/x/' || entry_id AS url, 'Nr. ' || entry_id AS title, CASE WHEN price > 0 THEN CAST(CAST(price AS decimal(12,2)) AS double) END AS price, CASE WHEN m2 > 0 THEN CAST(CAST(m2 AS decimal(12,2)) AS double) END AS m2,
 CASE WHEN rooms > 0 THEN CAST(trunc(rooms) AS double) END AS rooms FROM scan_inbox WHERE price > 0 OR m2 > 0"""
 
-QUERIES = {f.__name__: f for f in (html_cards, json_compact, json_verbose, page_states, markdown_table, queue_lines, queue_lines_all, correspondence_blocks, history_files, archive_files, mail_attachments)}
-ORACLES = {"html_cards": HTML_SQL, "json_compact": CAPTURE_SQL, "json_verbose": CAPTURE_SQL, "page_states": STATES_SQL, "markdown_table": MARKDOWN_SQL, "queue_lines": QUEUE_SQL, "queue_lines_all": QUEUE_ALL_SQL, "history_files": FILES_SQL, "archive_files": ARCHIVE_SQL, "mail_attachments": MAIL_SQL}
+QUERIES = {f.__name__: f for f in (html_cards, json_compact, json_verbose, markdown_table, queue_lines, correspondence_blocks, history_files, archive_files, mail_attachments)}
+ORACLES = {"html_cards": HTML_SQL, "json_compact": CAPTURE_SQL, "json_verbose": CAPTURE_SQL, "markdown_table": MARKDOWN_SQL, "queue_lines": QUEUE_SQL, "history_files": FILES_SQL, "archive_files": ARCHIVE_SQL, "mail_attachments": MAIL_SQL}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from plotmill.functions import text
 from plotmill.functions.places import neighbourhood
 from plotmill.operators import incremental, linkage
-from plotmill.operators.bands import Band, band_join
+from plotmill.operators.bands import Band, band_join  # noqa: F401
 from plotmill.runtime import read_table
 
 
@@ -218,22 +218,12 @@ SELECT report_id, h.price FROM (SELECT * FROM reports WHERE url <> '' AND create
 
 
 def near_prices(spark: SparkSession, sf: str) -> DataFrame:
-    """Range join: rows of the tracker and every fiftieth of the inbox with one status-free shape (5 % price, 3 m²), counted
-    per portal pair; for the whole inbox see ``near_prices_all``."""
-    a, b = read_table(spark, sf, "tracker_additions").select("portal", "price", "m2", "rooms"), read_table(spark, sf, "scan_inbox").where("entry_id % 50 = 0").select("portal", "price", "m2", "rooms")
-    return band_join(a, b, [Band("price", share=0.05), Band("m2", span=3.0)], ["rooms"]).groupBy(F.col("a.portal").alias("portal_a"), F.col("b.portal").alias("portal_b")).agg(F.count(F.lit(1)).alias("n"))
-
-
-NEAR_SQL = "SELECT a.portal AS portal_a, b.portal AS portal_b, count(*) AS n FROM tracker_additions a JOIN scan_inbox b ON b.entry_id % 50 = 0 AND a.price > 0 AND b.price > 0 AND a.m2 > 0 AND b.m2 > 0 AND a.rooms = b.rooms AND abs(a.price - b.price) / greatest(a.price, b.price) < 0.05 AND abs(a.m2 - b.m2) <= 3 GROUP BY ALL"
-
-
-def near_prices_all(spark: SparkSession, sf: str) -> DataFrame:
     """Range join: rows of the tracker and the whole inbox with one shape (5 % price, 3 m², rooms), counted per portal pair."""
     return linkage.near_counts(read_table(spark, sf, "tracker_additions"), read_table(spark, sf, "scan_inbox"))
 
 
-NEAR_ALL_SQL = "SELECT a.portal AS portal_a, b.portal AS portal_b, count(*) AS n FROM tracker_additions a JOIN scan_inbox b ON a.price > 0 AND b.price > 0 AND a.m2 > 0 AND b.m2 > 0 AND a.rooms = b.rooms AND abs(a.price - b.price) / greatest(a.price, b.price) < 0.05 AND abs(a.m2 - b.m2) <= 3 GROUP BY ALL"
+NEAR_SQL = "SELECT a.portal AS portal_a, b.portal AS portal_b, count(*) AS n FROM tracker_additions a JOIN scan_inbox b ON a.price > 0 AND b.price > 0 AND a.m2 > 0 AND b.m2 > 0 AND a.rooms = b.rooms AND abs(a.price - b.price) / greatest(a.price, b.price) < 0.05 AND abs(a.m2 - b.m2) <= 3 GROUP BY ALL"
 
-QUERIES = {f.__name__: f for f in (cross_source_links, best_match, footprint, seen_antijoin, failures_carried, merge_staged, updates_applied, notes_appended, reconcile_diffs, size_bands, missing_combinations, price_as_of, near_prices, near_prices_all)}
-ORACLES = dict(zip(QUERIES, (CROSS_SQL, BEST_SQL, FOOTPRINT_SQL, SEEN_SQL, CARRY_SQL, MERGE_SQL, APPLY_SQL, NOTES_SQL, _reconcile_sql(), BANDS_SQL, MISSING_SQL, ASOF_SQL, NEAR_SQL, NEAR_ALL_SQL), strict=True))
+QUERIES = {f.__name__: f for f in (cross_source_links, best_match, footprint, seen_antijoin, failures_carried, merge_staged, updates_applied, notes_appended, reconcile_diffs, size_bands, missing_combinations, price_as_of, near_prices)}
+ORACLES = dict(zip(QUERIES, (CROSS_SQL, BEST_SQL, FOOTPRINT_SQL, SEEN_SQL, CARRY_SQL, MERGE_SQL, APPLY_SQL, NOTES_SQL, _reconcile_sql(), BANDS_SQL, MISSING_SQL, ASOF_SQL, NEAR_SQL), strict=True))
 QUERIES["best_match_known"] = best_match_known

@@ -215,7 +215,7 @@ def predicates(spark: SparkSession, sf: str) -> DataFrame:
 
 PREDICATE_SQL = """SELECT addition_id, regexp_matches(notes, '(?i)tausch') AS swap, regexp_matches(notes, '[0-9] ?(EUR|€)') AS priced, CASE WHEN price BETWEEN 100 AND 10000 THEN price END AS price_ok,
 CASE WHEN m2 BETWEEN 15 AND 250 THEN m2 END AS m2_ok, CASE WHEN rooms BETWEEN 1 AND 12 THEN rooms END AS rooms_ok,
-CASE WHEN regexp_matches(notes, '(?i)captcha|blocked|denied|403|429') THEN 'bot_defense' WHEN regexp_matches(notes, '(?i)timeout|timed out|net::|ECONN|reset') THEN 'transient' ELSE 'error' END AS class FROM tracker_additions"""
+CASE WHEN regexp_matches(lower(notes), '403|forbidden|net::err|blocked|err_http2|access denied') THEN 'bot_defense' WHEN regexp_matches(lower(notes), 'timeout|timed out|navigation') THEN 'transient' ELSE 'error' END AS class FROM tracker_additions"""
 
 QUERIES = {f.__name__: f for f in (num_dialects, num_range_upper, url_forms, url_harvest, tsv_lines, title_features, report_fields, text_forms, place_tokens, place_agreement, note_dates, day_differences, template_urls, predicates)}
 ORACLES = dict(zip(QUERIES, (NUM_SQL, NUM_RANGE_SQL, URL_SQL, HARVEST_SQL, TSV_SQL, TITLE_SQL, REPORT_SQL, TEXT_SQL, PLACE_SQL, AGREE_SQL, NOTE_SQL, DAY_SQL, TEMPLATE_SQL, PREDICATE_SQL), strict=True))

@@ -19,11 +19,14 @@ _FALLBACK: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, ``spark.checkpoint.dir``. Only where it is unset (tests, a laptop) a temporary
-    folder is made and set as the session's checkpoint folder."""
+    """The cluster's shared folder, ``spark.checkpoint.dir``. Only where it is unset and all executors are on this machine
+    (tests, a laptop) a temporary folder is made and set as the session's checkpoint folder; on a cluster that is
+    refused, as each executor would write to its own disk."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _FALLBACK:
         _FALLBACK[app] = "file://" + tempfile.mkdtemp(prefix="plotmill-")
@@ -54,7 +57,8 @@ def _tidy() -> None:
 
 
 def materialize(df: DataFrame, what: str, partition_by: str | None = None) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage, and a lost executor costs no recomputation."""
+    """Write ``df`` to the shared folder and read it back: cuts the lineage, and a lost executor costs no recomputation.
+    This runs ``df`` at once, so operators that use it start jobs while their result is only being built."""
     spark = df.sparkSession
     path = new_path(spark, what)
     writer = df.write.option("compression", "zstd")

@@ -42,3 +42,15 @@ def page_state(pages: DataFrame, keep: list[str], page_no: str, body: str = "bod
         F.when(F.col("page").isNull(), "unreadable").when(size > 0, "ok").when(F.coalesce("page.empty", F.lit(False)) | (F.col("page.total") == 0), "empty").when(F.col(page_no) == 1, "drift").otherwise("end")
     )
     return p.select(*keep, page_no, size.alias("cards"), F.coalesce("page.n", "page.hasNextPage", F.lit(False)).alias("more"), state.alias("state"))
+
+
+#: Texts of walls against robots, in the title or in the first 4000 visible characters, and marks of embedded
+#: challenges in the markup.
+WALL_TEXTS, WALL_CHARS, WALL_MARKS = ("Ich bin kein Roboter", "captcha", "Are you a robot"), 4000, ("captcha-delivery.com",)
+
+
+def is_blocked(title: Column, visible: Column, html: Column) -> Column:
+    """Whether a page is a wall: by its title, the beginning of its visible text, or a mark in its markup; scripts that
+    only name such words don't count. Null parts show nothing."""
+    has = lambda c, words: F.coalesce(F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(c, w)), F.lit(False))
+    return has(title, WALL_TEXTS) | has(F.substring(visible, 1, WALL_CHARS), WALL_TEXTS) | has(html, WALL_MARKS)

@@ -132,7 +132,7 @@ def test_known_match_ranks_and_vetoes(spark):
 
 
 def test_near_counts_take_all_rows(spark, tmp_path):
-    from plotmill.plans.linkage import near_prices_all
+    from plotmill.plans.linkage import near_prices
 
     rng = random.Random(5)
     row = lambda k: (k, rng.choice(["p", "q", None]), rng.choice([1000.0, 1020.0, 1049.0, 1060.0, None]), rng.choice([50.0, 53.0, 53.5, 0.0]), rng.choice([2.0, 3.0, None]))
@@ -144,7 +144,7 @@ def test_near_counts_take_all_rows(spark, tmp_path):
         for _, q, y, n, t in right:
             if x and y and m and n and r is not None and r == t and abs(x - y) / max(x, y) < 0.05 and abs(m - n) <= 3:
                 want[p, q] = want.get((p, q), 0) + 1
-    assert {(r.portal_a, r.portal_b): r.n for r in near_prices_all(spark, str(tmp_path)).collect()} == want
+    assert {(r.portal_a, r.portal_b): r.n for r in near_prices(spark, str(tmp_path)).collect()} == want
 
 
 def test_unseen_and_first(spark):
@@ -195,7 +195,7 @@ def test_queue_lines_of_all_rows(spark, tmp_path):
     ]
     df = spark.createDataFrame([(k, f"https://p.example/{k}", "p", t, 900.0, 50.5, r, "Golm") for k, t, r in rows], "entry_id bigint, url string, portal string, title string, price double, m2 double, rooms double, location string")
     df.write.parquet(f"{tmp_path}/scan_history.parquet")
-    got = {r.entry_id: (r.title, r.rooms, r.m2, r.location) for r in captures.queue_lines_all(spark, str(tmp_path)).collect()}
+    got = {r.entry_id: (r.title, r.rooms, r.m2, r.location) for r in captures.queue_lines(spark, str(tmp_path)).collect()}
     rooms = {1: 3.0, 2: 2.5, 3: 3.5, 4: 0.0, 5: 2.0, 6: 0.0, 7: 1.0, 8: 1250.0, 9: 0.0}
     assert got == {k: ((t or "").replace("|", "/"), rooms[k], 50.5, "golm") for k, t, _ in rows}
 
