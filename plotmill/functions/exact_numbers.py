@@ -16,9 +16,8 @@ _BODY = "[0-9]+(?:[.,'’ \\u00a0\\u2009\\u202f][0-9]+)*"
 def _canonical(plain: Column) -> Column:
     """From an optional sign, digits and an optional point with digits; null for anything else, and if all digits are 0.
     Each step uses the one before once, so that generated code stays small."""
-    leading = F.regexp_replace(plain, "^(-?)0+(?=[0-9])", "$1")
-    closing = F.regexp_replace(F.regexp_replace(leading, "\\.([0-9]*?)0*\\z", ".$1"), "\\.\\z", "")
-    return F.get(F.regexp_extract_all(closing, F.lit("\\A-?[0-9.]*[1-9][0-9.]*\\z"), F.lit(0)), F.lit(0))
+    short = F.regexp_replace(plain, "^(-?)0*([0-9]+?)(?:\\.0*|(\\.[0-9]*[1-9])0*)?\\z", "$1$2$3")
+    return F.get(F.regexp_extract_all(short, F.lit("\\A-?[0-9.]*[1-9][0-9.]*\\z"), F.lit(0)), F.lit(0))
 
 
 def exact_from_text(text: Column) -> Column:
@@ -46,5 +45,8 @@ def exact_from_double(number: Column) -> Column:
         return F.concat(sign, F.when(point <= 0, small).otherwise(F.concat(F.rpad(F.left(digits, point), point, "0"), F.lit("."), F.substring(digits, point + 1, F.length(digits)))))
 
     text = number.cast("string")
+    unknown = F.isnan(number) | (number == 0) | (F.abs(number) == float("inf"))
     # bound in a lambda, as it is used many times; hardly any row comes here
-    return _canonical(F.when(F.contains(text, F.lit("E")), F.get(F.transform(F.array(text), unfolded), F.lit(0))).otherwise(text))
+    far = _canonical(F.get(F.transform(F.array(text), unfolded), F.lit(0)))
+    # without an exponent the notation has no other zeros to drop than those of a whole number
+    return F.when(unknown, None).when(F.contains(text, F.lit("E")), far).when(text.endswith(".0"), F.left(text, F.length(text) - 2)).otherwise(text)
