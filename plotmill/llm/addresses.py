@@ -303,7 +303,11 @@ def neighbour_links(streets: list[str], own: list[bool], window: int) -> list[tu
     for i, a in enumerate(parsed):
         if not own[i]:
             break
+        bits, spelt, size = a.whole.bits, a.whole.spelt_bits, len(a.whole.folded)
         for b in parsed[i + 1 : i + 1 + window]:
+            # two edits change four letters of the set at most, forms and kinds are equal or part of what is compared
+            if (bits ^ b.whole.bits).bit_count() > 4 and (spelt ^ b.whole.spelt_bits).bit_count() > 4 or abs(size - len(b.whole.folded)) > 4:
+                continue
             if classes.root(a.text) != classes.root(b.text) and a.same(b):
                 classes.join(a.text, b.text)
                 links.append((a.text, b.text))
