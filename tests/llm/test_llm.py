@@ -272,8 +272,10 @@ def fewest_edits(pattern, text):
 
 
 @pytest.mark.parametrize("edits", [1, 2, 3])
-def test_edited_leaks_against_brute_force(spark, edits):
-    """Changed, lost and added letters inside the passage; more of them than allowed in some documents."""
+def test_edited_leaks_against_brute_force(spark, edits, monkeypatch):
+    """Changed, lost and added letters inside the passage; more of them than allowed in some documents. With the items'
+    q-grams sent to the executors and without."""
+    monkeypatch.setattr(leaks, "BROADCAST_GRAMS", 10**6 if edits == 1 else 0)
     rng = random.Random(6)
     items = [(k, " ".join(rng.choice(["wort", "haus", "tür", "ab", "zimmer", "licht"]) + str(rng.randint(0, 9)) for _ in range(rng.choice([12, 14, 20])))) for k in range(8)]
     docs = []
