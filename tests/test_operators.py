@@ -131,6 +131,81 @@ def test_known_match_ranks_and_vetoes(spark):
     assert sorted((r.candidate, r.match, r.kind) for r in linkage.known_match(c, "c", e, "t").collect()) == [(1, 10, "unit"), (2, 13, "title")]
 
 
+def test_known_match_against_brute_force(spark):
+    """Unknown and odd values, several codes and titles, many rows of one code and of one title."""
+    rng = random.Random(8)
+    pick = lambda *x: rng.choice(x)
+    some = lambda values, most: rng.sample(values, rng.randint(0, most))
+    codes, words, keys = ["H4-00-02", "H4-01-03", "H5-00-01"], ["garten", "seeblick", "altbau"], ["k1", "k2", "k3"]
+
+    def row(k):
+        price, m2 = pick(None, 0.0, -5.0, 0.4, *[round(1000 * 1.011 ** rng.randint(0, 14), 2) for _ in range(9)]), pick(None, 0.0, *[50.0 + rng.randint(0, 18) / 2 for _ in range(6)])
+        return (k, price, m2, pick(None, 0.0, 2.0, 2.5, 3.0), pick("", "", "golm", "golm nord", "kiez"), some(codes, pick(0, 0, 0, 0, 2)), some(words, pick(0, 1, 2)))
+
+    wanted, pool = [(*row(k), pick("", "", "", "k1", "k1", "k2")) for k in range(120)], [(*row(k), some(keys, pick(0, 0, 2))) for k in range(160)]
+    on = lambda v: v is not None and v > 0
+    words_of = lambda a, b: (set(a.split()), set(b.split()))
+
+    def agree(a, b):
+        if not a or not b:
+            return None
+        x, y = words_of(a, b)
+        return True if a == b else False if not x & y or "nord" in x ^ y else True
+
+    def pair(c, e):
+        known = lambda k: on(c[k]) and on(e[k])
+        far = lambda k, most: known(k) and abs(c[k] - e[k]) > most
+        share = abs(c[1] - e[1]) / max(c[1], e[1]) if known(1) else 0
+        coded = c[5] and e[5]
+        if coded and not set(c[5]) & set(e[5]):
+            return None
+        kind = "unit" if coded else "title" if c[7] and c[7] in e[7] and not far(2, 3) and not far(3, 0.5) else None
+        if kind:
+            kind = kind if share <= 0.10 else None
+        elif known(1) and known(2) and share < 0.05 and abs(c[2] - e[2]) <= 3:
+            place = agree(e[4], c[4])
+            conflict = c[6] and e[6] and not set(c[6]) & set(e[6])
+            kind = "confirmed" if place else "numeric" if place is None and on(c[3]) and c[3] == e[3] and not conflict else None
+        v = [[x if on(x) else 0.0 for x in r[1:3]] for r in (c, e)]
+        gap = abs(v[0][0] - v[1][0]) / max(v[0][0], v[1][0], 1.0) / 0.05 + abs(v[0][1] - v[1][1]) / 3
+        return kind and (["unit", "title", "confirmed", "numeric"].index(kind), gap, e[0], kind)
+
+    want = {(c[0], *best[2:]) for c in wanted if (best := min(filter(None, (pair(c, e) for e in pool)), default=None))}
+    s = "price double, m2 double, rooms double, hood string, codes array<string>, tokens array<string>"
+    c, e = spark.createDataFrame(wanted, f"c bigint, {s}, key string"), spark.createDataFrame(pool, f"t bigint, {s}, keys array<string>")
+    got = [(r.candidate, r.match, r.kind) for r in linkage.known_match(c, "c", e, "t").collect()]
+    assert set(got) == want and len(got) == len(want) and {k for *_, k in want} == {"unit", "title", "confirmed", "numeric"}
+
+
+def most_rows(plan):
+    """The largest number of rows that a step of a plan gave."""
+    inner = [getattr(plan, k)() for k, kind in (("executedPlan", "AdaptiveSparkPlanExec"), ("plan", "QueryStageExec")) if plan.getClass().getSimpleName().endswith(kind)]
+    below = inner or [plan.children().apply(k) for k in range(plan.children().size())]
+    n = plan.metrics().get("numOutputRows")
+    return max([n.get().value() if n.isDefined() else 0, *map(most_rows, below)])
+
+
+def test_best_match_known_with_a_common_address(spark, tmp_path, monkeypatch):
+    """A third of the history and of the reports at one address: its titles don't meet its reports one by one."""
+    from plotmill.plans.linkage import best_match_known
+
+    title, n = "Wohnen am Brauhausberg mit Seeblick", 600
+    write = lambda name, rows, schema: spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    write("gazetteer", [("14476", "Golm", "Potsdam")], "plz string, hood string, town string")
+    write("scan_inbox", [(50, title, None, None, 60.0, 2.0), (100, "Ganz anderer Altbau am Kanal", "Golm", 900.0, 61.0, 2.0), (101, title, None, None, 60.0, 2.0)], "entry_id bigint, title string, location string, price double, m2 double, rooms double")
+    write("scan_history", [(k, "u1", title if k % 2 else "Heller Garten im Quartier") for k in range(1, n)] + [(n, "u2", "Seltene Villa am Heiligen See"), (n + 1, "", title), (n + 2, None, title)], "entry_id bigint, url string, title string")
+    write("reports", [(f"reports/{k}.md", "u1") for k in range(n)] + [("reports/x.md", "u2"), ("reports/x.md", "u1"), ("reports/y.md", "")], "path string, url string")
+    rows = [(k, f"[{k}](reports/{k}.md)", None, 1000.0, 60.0 + k % 3, 2.0, None) for k in range(1, n)] + [(n, "reports/x.md", "Golm", 900.0, 60.0, 2.0, None), (n + 1, "reports/y.md", "Golm", 901.0, 61.5, 2.0, None), (n + 2, None, "Golm", 900.0, 61.0, 2.0, None)]
+    write("tracker_additions", rows, "addition_id bigint, report string, location string, price double, m2 double, rooms double, notes string")
+    ran = []
+    keep = linkage.materialize
+    monkeypatch.setattr(linkage, "materialize", lambda df, what: (df.collect(), ran.append(most_rows(df._jdf.queryExecution().executedPlan())), keep(df, what))[-1])
+    found = best_match_known(spark, str(tmp_path))
+    got = sorted((r.entry_id, r.addition_id, r.kind) for r in found.collect())
+    assert got == [(50, 3, "title"), (100, n + 2, "confirmed")]
+    assert 0 < max(ran) < 10 * n
+
+
 def test_near_counts_take_all_rows(spark, tmp_path):
     from plotmill.plans.linkage import near_prices
 
