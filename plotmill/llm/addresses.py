@@ -1,12 +1,11 @@
-"""Which address records denote the same building: multi-pass sorted neighbourhoods over parsed addresses.
+"""Which address records denote the same building: parsed addresses, compared within town, number and letter.
 
 Addresses are parsed into street, house number, letter and locality; number and letter must be equal (they are never
 misspelt), and the locality is resolved to towns through the gazetteer, whose size is checked. Equal addresses are
-reduced to one entry. The entries with the same town, number and letter are sorted several times, by different orders
-of the street's components, and each entry is compared with its neighbours by a transposition-tolerant edit distance.
-A sorted block is cut into segments that overlap by the window, so its comparisons are spread over tasks; what a block
-does in one task is to sort and to join the links found. In blocks larger than the window, where neighbours may be
-missed, a further pass compares all streets that become equal by dropping one letter, which finds every link of one edit.
+reduced to one entry. All entries with the same town, number and letter are compared by a transposition-tolerant edit
+distance, after arrays of their letters have left out nearly all pairs. A large block is cut into tiles, each compared with
+itself and every other, so its comparisons are spread over tasks; what a block does in one task is to sort and to join
+the links found.
 """
 
 from __future__ import annotations
@@ -15,16 +14,17 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plotmill.runtime import materialize, shuffle_partitions
 
-#: Entries that an entry is compared with in each sort order, on either side; blocks up to this size are compared fully.
+#: Blocks of up to one entry more are compared pair by pair, larger ones by arrays; the links found join the same streets.
 WINDOW = 64
-#: Entries of a sorted block per segment.
-SEGMENT = 512
+#: Entries of a block per tile; two tiles are compared at a time.
+SEGMENT = 8192
 #: Entries that one Python task compares.
 ENTRIES_PER_TASK = 20_000
 #: Names of so many letters may differ by two edits.
@@ -269,13 +269,6 @@ class Street:
         return a.near(b, limit) <= limit
 
 
-def spelling_keys(whole: str) -> set[str]:
-    """The name and what is left when one of its letters is dropped, umlauts taken as one letter or as two. Names at most
-    one edit apart, a transposition included, have one of these in common."""
-    drop = lambda name: {name, *(name[:k] + name[k + 1 :] for k in range(len(name)))}
-    return drop(whole) | drop(spelt_out(whole))
-
-
 class Classes:
     """Union-find over strings."""
 
@@ -297,14 +290,12 @@ class Classes:
         return a != b
 
 
-def neighbour_links(streets: list[str], own: list[bool], window: int) -> list[tuple[str, str]]:
-    """Links that join the streets of one sorted segment, a forest; entries that aren't ``own`` follow and only end windows."""
+def pair_links(streets: list[str]) -> list[tuple[str, str]]:
+    """Links that join the streets of a small block, a forest."""
     classes, links, parsed = Classes(), [], [Street(s) for s in streets]
     for i, a in enumerate(parsed):
-        if not own[i]:
-            break
         bits, spelt, size = a.whole.bits, a.whole.spelt_bits, len(a.whole.folded)
-        for b in parsed[i + 1 : i + 1 + window]:
+        for b in parsed[i + 1 :]:
             # two edits change four letters of the set at most, forms and kinds are equal or part of what is compared
             if (bits ^ b.whole.bits).bit_count() > 4 and (spelt ^ b.whole.spelt_bits).bit_count() > 4 or abs(size - len(b.whole.folded)) > 4:
                 continue
@@ -314,56 +305,54 @@ def neighbour_links(streets: list[str], own: list[bool], window: int) -> list[tu
     return links
 
 
-def _orders() -> list[Column]:
-    """Sort keys: form first, name first, name from its end, and name without vowels and doubled letters."""
-    form, stem, kind = (F.split_part("street", F.lit("|"), F.lit(k)) for k in (1, 2, 3))
-    bare = F.regexp_replace(F.regexp_replace(stem, "[aeiouyäöü]", ""), "(.)\\1+", "$1")
-    blank = F.lit(" ")
-    return [F.concat(form, blank, kind, blank, stem), F.concat(stem, blank, form, blank, kind), F.concat(F.reverse(kind), F.reverse(stem), blank, form), F.concat(bare, blank, form, blank, kind, blank, stem)]
+def letter_counts(name: str) -> int:
+    """Which letters a name has once and which twice, as bits. One edit changes two of them at most."""
+    once = twice = 0
+    for c in name:
+        bit = 1 << (ord(c) & 31)
+        twice |= once & bit
+        once |= bit
+    return once | twice << 32
+
+
+def tile_links(streets: list[str], own: int) -> list[tuple[str, str]]:
+    """Links that join the first ``own`` streets with those that follow, or with each other if none do, a forest."""
+    parsed, links = [Street(s) for s in streets], []
+    folded, spelt = (np.array([letter_counts(getattr(p.whole, k)) for p in parsed], np.uint64) for k in ("folded", "spelt"))
+    label = np.arange(len(streets))
+    for i, a in enumerate(parsed[:own]):
+        start = i + 1 if own == len(streets) else own
+        near = (np.bitwise_count(folded[start:] ^ folded[i]) <= 4) | (np.bitwise_count(spelt[start:] ^ spelt[i]) <= 4)
+        for j in (np.flatnonzero(near & (label[start:] != label[i])) + start).tolist():
+            if label[j] != label[i] and a.same(parsed[j]):
+                label[label == label[j]] = label[i]
+                links.append((a.text, parsed[j].text))
+    return links
 
 
 _BLOCK = ["town", "number"]
 
 
 def street_links(entries: DataFrame, parts: int, window: int = WINDOW) -> DataFrame:
-    """``town, number, a, b``: links between the streets of a block. ``entries`` has distinct ``town, number, street``."""
-    keys = _orders()
-    sized = entries.select(*_BLOCK, "street", F.count(F.lit(1)).over(Window.partitionBy(*_BLOCK)).alias("size")).where("size > 1")
-    large = F.col("size") > window + 1
-    ranked = sized.select("*", *[(F.row_number().over(Window.partitionBy(*_BLOCK).orderBy(k, "street")) - 1).alias(f"p{n}") for n, k in enumerate(keys)])
-    # in a block within the window the first order sees every pair
-    passes = F.explode(F.when(large, F.array(*[F.struct(F.lit(n).alias("pass"), F.col(f"p{n}").alias("at")) for n in range(len(keys))])).otherwise(F.array(F.struct(F.lit(0).alias("pass"), F.col("p0").alias("at")))))
-    placed = ranked.select(*_BLOCK, "street", passes.alias("z")).select(*_BLOCK, "street", "z.*")
-    home = F.floor(F.col("at") / SEGMENT).cast("int")
-    twice = (home > 0) & (F.col("at") % SEGMENT < window)
-    segments = placed.select(*_BLOCK, "street", "pass", "at", F.explode(F.when(twice, F.array(home, home - 1)).otherwise(F.array(home))).alias("segment"), home.alias("home"))
-    bucketed = segments.withColumn("bucket", F.pmod(F.xxhash64(*_BLOCK, "pass", "segment"), F.lit(8 * parts))).repartition(parts, "bucket")
+    """``town, number, a, b``: links between the streets of a block. ``entries`` has distinct ``town, number, street``.
+    All pairs are compared, so the classes that the links make don't depend on the block's size."""
+    block = Window.partitionBy(*_BLOCK)
+    sized = entries.select(*_BLOCK, "street", F.count(F.lit(1)).over(block).alias("size"), (F.row_number().over(block.orderBy("street")) - 1).alias("at")).where("size > 1")
+    # each tile meets itself and every other
+    home, tiles = F.floor(F.col("at") / SEGMENT), F.floor((F.col("size") - 1) / SEGMENT)
+    met = F.explode(F.transform(F.sequence(F.lit(0).cast("bigint"), tiles), lambda k: F.struct(F.least(home, k).alias("low"), F.greatest(home, k).alias("high")))).alias("z")
+    placed = sized.select(*_BLOCK, "street", home.alias("home"), met).select(*_BLOCK, "street", "home", "z.*")
+    bucketed = placed.withColumn("bucket", F.pmod(F.xxhash64(*_BLOCK, "low", "high"), F.lit(8 * parts))).repartition(parts, "bucket")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for (town, number, _, segment), part in pdf.sort_values("at").groupby(["town", "number", "pass", "segment"], sort=False):
-            if len(part) > 1:
-                out += [(town, number, a, b) for a, b in neighbour_links(part["street"].tolist(), (part["home"] == segment).tolist(), window)]
-        return pd.DataFrame(out, columns=["town", "number", "a", "b"])
-
-    def spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = [(t, n, s, k) for t, n, s in zip(pdf["town"], pdf["number"], pdf["street"], strict=True) for k in spelling_keys(s.replace("|", ""))]
-            yield pd.DataFrame(out, columns=["town", "number", "street", "key"])
-
-    def check(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for (town, number, _), part in pdf.groupby(["town", "number", "key"], sort=False):
-            if len(part) > 1:
-                streets = part["street"].tolist()
-                out += [(town, number, a, b) for a, b in neighbour_links(streets, [True] * len(streets), len(streets))]
+        for (town, number, low, _), part in pdf.sort_values(["home", "street"]).groupby(["town", "number", "low", "high"], sort=False):
+            streets = part["street"].tolist()
+            links = tile_links(streets, int((part["home"] == low).sum())) if len(streets) > window + 1 else pair_links(streets)
+            out += [(town, number, a, b) for a, b in links]
         return pd.DataFrame(out, columns=["town", "number", "a", "b"])
 
-    links = "town string, number string, a string, b string"
-    by_order = bucketed.groupBy("bucket").applyInPandas(compare, links)
-    spelt = sized.where(large).select(*_BLOCK, "street").mapInPandas(spell, "town string, number string, street string, key string")
-    shared = spelt.withColumn("bucket", F.pmod(F.xxhash64(*_BLOCK, "key"), F.lit(8 * parts))).repartition(parts, "bucket")
-    return by_order.unionByName(shared.groupBy("bucket").applyInPandas(check, links)).distinct()
+    return bucketed.groupBy("bucket").applyInPandas(compare, "town string, number string, a string, b string")
 
 
 def named_streets(entries: DataFrame, parts: int, window: int = WINDOW) -> DataFrame:

@@ -171,6 +171,33 @@ def test_large_blocks_lose_no_link(spark, monkeypatch):
     assert all((named[a] == named[b]) == (brute.root(a) == brute.root(b)) for a in streets[:50] for b in streets)
 
 
+@pytest.mark.parametrize("window", [4, 10**6])
+def test_two_edits_link_in_blocks_of_any_size(spark, monkeypatch, window):
+    """Long names two edits apart, with forms, kinds and umlauts: large blocks, over several tiles, link as small ones."""
+    monkeypatch.setattr(addresses, "SEGMENT", 64)
+    rng = random.Random(10)
+    names = {"".join(rng.choice("abdeghiklmnorstuü") for _ in range(10)) for _ in range(120)}
+    for name in sorted(names):
+        for _ in range(2):
+            x, y = rng.sample(range(10), 2)
+            w = list(name)
+            w[x], w[y] = rng.choice(["", "y", "ö", w[x] + "q"]), rng.choice(["", "z", "x", w[y] + "j"])
+            names.add("".join(w))
+    streets = sorted({f"{rng.choice(['', '', '', '', 'am'])}|{n}|{rng.choice(['weg', 'weg', 'weg', 'weg', 'wegg', ''])}" for n in sorted(names)})
+    streets = [s if not s.endswith("|wegg") else s.replace("|wegg", "wegg|") for s in streets]
+    parsed, brute = [addresses.Street(s) for s in streets], addresses.Classes()
+    for k, a in enumerate(parsed):
+        for b in parsed[:k]:
+            if a.same(b):
+                brute.join(a.text, b.text)
+    entries = spark.createDataFrame([("town", "7", s) for s in streets], "town string, number string, street string")
+    found = addresses.Classes()
+    for r in addresses.street_links(entries, 4, window=window).collect():
+        found.join(r.a, r.b)
+    by = lambda c: {frozenset(s for s in streets if c.root(s) == r) for r in {c.root(s) for s in streets}}
+    assert by(found) == by(brute) and 100 < len(by(brute)) < 300 < len(streets)
+
+
 def test_two_edits_depend_on_the_names_alone():
     same = lambda a, b: addresses.Street(a).same(addresses.Street(b))
     assert same("|hadenkletaler|chaussee", "|hadeenkeltaler|chaussee")
